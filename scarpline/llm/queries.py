@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding
-from .common import table
+from . import decontaminate, mixing, quality, sharding
+from .common import n_words, saved, table
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = saved(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "counts")
+    rules = quality.fit(counted, table(spark, sf_dir, "labels"))
+    return quality.judged(counted, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), n_words(F.col("text")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +37,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op10_sharding)}
+    return {f.__name__: f for f in (op4_quality_rules, op5_mixing, op6_decontaminate, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
