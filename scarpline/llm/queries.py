@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding
-from .common import n_words, saved, table
+from . import decontaminate, mixing, quality, sharding, token_files, warc
+from .common import n_words, saved, scratch, table
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    token_files.encode_corpus(table(spark, sf_dir, "documents"), folder, tokenizer_path(), 2)
+    return token_files.documents(spark, folder)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +40,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc.write(warc.planned(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
+    return warc.read(spark, paths, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = F.coalesce("text", F.lit(""))
@@ -37,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_mixing, op6_decontaminate, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op4_quality_rules, op5_mixing, op6_decontaminate, op8_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
