@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, token_files, warc
+from . import decontaminate, html_text, mixing, quality, sharding, token_files, warc
 from .common import n_words, saved, scratch, table
 
 
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, folder)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = saved(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "counts")
     rules = quality.fit(counted, table(spark, sf_dir, "labels"))
@@ -54,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_quality_rules, op5_mixing, op6_decontaminate, op8_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_html_text, op4_quality_rules, op5_mixing, op6_decontaminate, op8_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
