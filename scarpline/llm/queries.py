@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, quality, sharding, token_files, warc
+from . import decontaminate, html_text, jaccard_join, mixing, quality, sharding, token_files, warc
 from .common import n_words, saved, scratch, table
 
 
@@ -44,6 +44,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents")).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = warc.write(warc.planned(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
     return warc.read(spark, paths, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_html_text, op4_quality_rules, op5_mixing, op6_decontaminate, op8_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_html_text, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
