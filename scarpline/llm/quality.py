@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import saved
+
 #: What is counted in a text.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits"]
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -202,6 +204,15 @@ def fit(counted: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", qualit
     return learn(sample[list(by_name)].to_numpy(float), sample["bad"].to_numpy(bool), list(by_name), **options)
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 50_000, **options) -> DecisionList:
+    """As ``fit``, from texts that are not counted yet: only those of a sample of the labels are counted."""
+    some = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, quality)
+    some = some.orderBy(F.xxhash64(doc_id), doc_id, quality).limit(sample_rows)
+    ids = F.broadcast(some.select(doc_id).distinct())  # sample_rows ids at most
+    counted = saved(statistics(docs.join(ids, doc_id, "left_semi").select(doc_id, text), text).drop(text), "sample")
+    return fit(counted, some, doc_id=doc_id, quality=quality, sample_rows=sample_rows, **options)
+
+
 def base_failed() -> Column:
     """Too short, or more than half of the words in 3-word windows that recur."""
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
