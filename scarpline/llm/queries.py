@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, mixing, quality, sharding, token_files, warc
+from . import decontaminate, html_text, jaccard_join, mixing, quality, sharding, substring_dedup, token_files, warc
 from .common import n_words, saved, scratch, table
 
 
@@ -27,6 +27,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = saved(substring_dedup.removed_spans(docs), "spans")
+    return substring_dedup.without_spans(docs, found, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = saved(quality.statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "counts")
     rules = quality.fit(counted, table(spark, sf_dir, "labels"))
@@ -62,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_html_text, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql.types import LongType
 from . import rans
 from .common import saved
 
-#: Words whose ids a worker keeps; beyond, it starts anew.
+#: Words whose ids a worker keeps; beyond, it forgets the later half.
 MEMO = 700_000
 _PLAIN = re.compile(r"([^\W\d_]+)([^\w\s'\x01]+)").fullmatch
 
@@ -97,8 +98,8 @@ class WordTokenizer:
         """The ids of each text as little-endian numbers."""
         if not self.by_word:
             return [self._bytes(ids) for ids in self._encode(texts)]
-        if len(self.memo) > MEMO:
-            self.memo = {"": b""}
+        if len(self.memo) > MEMO:  # common words were met first; they stay
+            self.memo = dict(islice(self.memo.items(), MEMO // 2))
         split = [t.replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*split).difference(self.memo) if split else set()
         if missing:
@@ -292,7 +293,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the decoded blocks."""
     pieces = decode_pieces(spark, folder)
     whole = pieces.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"))
-    whole = saved(whole.select("shard", "row", "doc_id", "n_tokens", _joined("p.n", "p.crc").alias("ids_crc32")), "pieces")
+    whole = saved(whole, "pieces")
+    columns = ["shard", "row", "doc_id", "n_tokens"]
+    cut = whole.where(F.size("p") > 1).select(*columns, _joined("p.n", "p.crc").alias("ids_crc32"))  # few: those that cross a block's end
+    whole = whole.where(F.size("p") == 1).select(*columns, F.element_at("p.crc", 1).alias("ids_crc32")).unionByName(cut)
     # Starts: sums within slices of a shard's documents, of slices within shards, of shards.
     sliced = whole.withColumn("slice", F.floor(F.col("row") / 1024))
     before = lambda *by: (Window.partitionBy(*by[:-1]) if by[:-1] else Window.partitionBy(F.lit(0))).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
