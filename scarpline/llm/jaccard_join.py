@@ -7,12 +7,15 @@ The incidence matrix of documents by n-grams is cut into blocks: some thousand d
 2. The rest returns to its documents. A document whose remaining n-grams are fewer than the share ``threshold`` of its
    size can't link with any other, by its size alone, and goes; of large corpora this leaves the near copies.
 3. Documents of equal sets become one row. Of each row the rarest ``rest - ceil(threshold * size) + 1`` n-grams are
-   indexed: a linked pair shares one of them (the prefix bound), and pairs whose sizes differ too much are skipped.
-4. Overlaps are accumulated over whole rows of the reduced matrix for pairs that meet in the index. In rounds, each index
-   entry compares a pivot with its members of other components, so a group of near copies costs one comparison a member
-   instead of one a pair; when a round finds no link, all pairs of different components that still meet are compared.
+   indexed: a linked pair shares one of them (the prefix bound). Each index entry has a pivot; rows that share an entry
+   are members of its pivot's group, so all pairs that meet in the index meet in a group.
+4. Each member is compared with its pivot. Members that aren't linked to it are compared with all others of the group, by
+   products of blocks of the reduced matrix; overlaps are accumulated inside the task, pairs below the bound stay there,
+   and of the links a spanning forest comes out.
 
-So components are exact: every link is inside one, and all meeting pairs of different ones have been compared.
+So components are exact: all pairs that can link have been compared, but for pairs of one component. No pairs of a group
+are emitted: rows grow with its members. The products' arithmetic grows with the square of those members of a group that
+aren't linked to their pivot.
 
 Null, empty and blank texts have empty sets and are linked with nothing. A text of fewer words than ``n`` has its whole
 sequence as the only n-gram. Repeated rows, and rows of one id, are documents of their own, linked if their sets are.
@@ -238,56 +241,93 @@ def connected(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with ``linked``, from the overlap of their rows."""
-    left, right = (rows.select(F.col("set").alias(x), F.col("size").alias(f"size_{x}"), F.col("rest").alias(f"rest_{x}")) for x in ("a", "b"))
-    overlap = F.size(F.array_intersect("rest_a", "rest_b")).cast("long")
-    whole = pairs.join(left, "a").join(right, "b").withColumn("overlap", overlap)
-    return whole.select("a", "b", "label_a", "label_b", (100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("linked"))
+def _products(table: pa.Table, percent: int) -> pa.Table:
+    """Edges (a, b) that connect what is linked in one pair of blocks: columns set, size, rest, side (0 or 1, 2 in both blocks).
 
-
-def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, rounds: int = 8) -> DataFrame:
+    The product of the rows' incidence matrix and its transpose is accumulated column by column: columns of many rows as
+    dense products, those of few by their pairs. Nothing but the edges of a spanning forest leaves the task.
+    """
+    sets, sizes, side = (table.column(c).to_numpy() for c in ("set", "size", "side"))
+    rest = table.column("rest").combine_chunks()
+    values, offsets = rest.flatten().to_numpy(), np.cumsum([0, *rest.value_lengths().to_numpy()])
+    m = len(sets)
+    overlap = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), np.diff(offsets))
+    order = np.argsort(values, kind="stable")
+    ordered, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    lengths = np.diff(np.append(starts, len(ordered)))
+    for length in np.unique(lengths[lengths < 24]):
+        if length > 1:
+            rows = owner[starts[lengths == length][:, None] + np.arange(length)]
+            at = (rows[:, :, None] * m + rows[:, None, :]).ravel()
+            overlap += np.bincount(at, minlength=m * m).reshape(m, m)
+    heavy = np.flatnonzero(lengths >= 24)
+    for i in range(0, len(heavy), 1024):
+        part = heavy[i : i + 1024]
+        dense = np.zeros((m, len(part)), np.float32)
+        for j, k in enumerate(part):
+            dense[owner[starts[k] : starts[k] + lengths[k]], j] = 1
+        overlap += dense @ dense.T
+    linked = 100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap)
+    root = np.arange(m)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(*np.nonzero(np.triu(linked, 1) & ~((side[:, None] == side[None, :]) & (side[:, None] != 2))), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    ends = np.array([find(x) for x in range(m)])
+    some = ends != np.arange(m)
+    return pa.table({"a": pa.array(sets[some], pa.int64()), "b": pa.array(sets[ends[some]], pa.int64())})
+
+
+def _block_edges(members: DataFrame, rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges among the members of pivots' groups, without comparing those that are linked to the pivot with each other.
+
+    members: pivot, set, linked. Members that aren't linked to the pivot are cut into blocks, and so are the others; each block
+    of the former meets itself, the later ones, and all of the latter. A task holds two blocks.
+    """
+    counts = members.groupBy("pivot").agg(F.count_if(~F.col("linked")).alias("n_apart"), F.count_if("linked").alias("n_linked")).where("n_apart > 0 and n_apart + n_linked > 1")
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    grouped = members.join(counts, "pivot").withColumns({"pa": parts("n_apart"), "pl": parts("n_linked")})
+    own = F.pmod(F.xxhash64("set"), F.when(F.col("linked"), F.col("pl")).otherwise(F.col("pa"))).cast("int")
+    # A block pair is (i, j); j counts the blocks of those apart first, then those of the linked.
+    first = F.transform(F.sequence(F.col("o"), F.col("pa") + F.col("pl") - 1), lambda j: F.struct(F.col("o").alias("i"), j.alias("j"), F.when(j == F.col("o"), F.lit(2)).otherwise(F.lit(0)).alias("side")))
+    upto = F.when(F.col("o") > 0, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.array().cast("array<int>"))
+    second = F.transform(upto, lambda i: F.struct(i.alias("i"), F.col("o").alias("j"), F.lit(1).alias("side")))
+    late = F.transform(F.sequence(F.lit(0), F.col("pa") - 1), lambda i: F.struct(i.alias("i"), (F.col("pa") + F.col("o")).alias("j"), F.lit(1).alias("side")))
+    spread = grouped.withColumn("o", own).withColumn("to", F.explode(F.when(F.col("linked"), late).otherwise(F.concat(first, second))))
+    full = spread.select("pivot", "to.i", "to.j", "to.side", "set").join(rows.select("set", "size", "rest"), "set")
+    return full.groupBy("pivot", "i", "j").applyInArrow(lambda t: _products(t, percent), "a long, b long")
+
+
+def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block: int = 1500) -> DataFrame:
     """doc_id, size (of the set) and component_id (the smallest id reachable by links) of every document row.
 
-    percent: two documents link if their sets' overlap is so many hundredths of their union at least; rounds: of pivots, at most.
+    percent: two documents link if their sets' overlap is so many hundredths of their union at least; block: rows in a
+    block of the product.
     """
     every = reduced_sets(docs, doc_id=doc_id, text=text, n=n, percent=percent)
     rows = saved(every.where("rest is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("rest").alias("rest")), "rows")
     prefix = F.size("rest") - F.ceil(F.col("size") * percent / 100).cast("int") + 1
-    index = rows.select("set", "size", F.explode(F.slice("rest", 1, prefix)).alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    index = saved(index.join(often, "gram"), "index")
-    labels = saved(index.select("set", F.col("set").alias("label")).distinct(), "labels")
-    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    tried: DataFrame | None = None
-    last = False
-    while True:
-        entries = saved(index.join(labels, "set"), "entries")
-        mixed = entries.groupBy("gram").agg(F.min(F.struct(F.xxhash64("set", F.lit(rounds)), "set", "size", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        a = entries.select("gram", F.col("set").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-        if last:
-            b = entries.join(mixed.select("gram"), "gram").select("gram", F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-            met = a.join(b, "gram").where(F.col("a") < F.col("b"))
-        else:
-            b = mixed.select("gram", F.col("pivot.set").alias("b"), F.col("pivot.size").alias("size_b"), F.col("pivot.label").alias("label_b"))
-            met = a.join(b, "gram")
-        met = met.where((F.col("label_a") != F.col("label_b")) & fits)
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        compared = saved(_linked(pairs, rows, percent), "compared")
-        links = compared.where("linked").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        found = not links.isEmpty()
-        if found:
-            joined = connected(links)
-            labels = saved(labels.join(joined, labels["label"] == joined["node"], "left").select("set", F.coalesce("root", "label").alias("label")), "labels")
-        if last:
-            break
-        rounds -= 1
-        new = compared.select("a", "b")
-        tried = new if tried is None else tried.unionByName(new)
-        last = not found or not rounds
-    named = rows.join(labels, "set", "left").select("set", F.coalesce("label", "set").alias("label"), "least")
+    index = saved(rows.select("set", F.try_divide(F.size("rest"), "size").alias("share"), F.explode(F.slice("rest", 1, prefix)).alias("gram")), "index")
+    # The pivot of an entry is the row that kept most of its n-grams: of near copies, the one that most others are copies of.
+    pivots = index.groupBy("gram").agg(F.max(F.struct("share", "set")).alias("p"), F.count("*").alias("n")).where("n > 1").select("gram", F.col("p.set").alias("pivot"))
+    met = index.join(pivots, "gram").select("pivot", "set").where("pivot <> set").distinct()
+    ends = [rows.select(F.col("set").alias(x), F.col("size").alias(f"size_{x}"), F.col("rest").alias(f"rest_{x}")) for x in ("pivot", "set")]
+    overlap = F.size(F.array_intersect("rest_pivot", "rest_set")).cast("long")
+    whole = met.join(ends[0], "pivot").join(ends[1], "set").withColumn("overlap", overlap)
+    linked = 100 * F.col("overlap") >= percent * (F.col("size_pivot") + F.col("size_set") - F.col("overlap"))
+    members = saved(whole.select("pivot", "set", linked.alias("linked")), "members")
+    edges = members.where("linked").select(F.col("pivot").alias("a"), F.col("set").alias("b")).unionByName(_block_edges(members, rows, percent, block))
+    roots = connected(edges)
+    named = rows.join(roots, rows["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("label"), "least")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    roots = named.join(smallest, "label").select("set", "component_id")
-    return every.join(roots, "set", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+    back = named.join(smallest, "label").select("set", "component_id")
+    return every.join(back, "set", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
