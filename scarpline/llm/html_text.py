@@ -184,8 +184,9 @@ def _lines(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([lines(h or "") for h in batch], columns=["text", "kind"])
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", range_pages: int = 4000) -> DataFrame:
-    """page_id, url and text (the main text). range_pages: about how many pages of neighbouring URLs one range holds.
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", range_pages: int = 500) -> DataFrame:
+    """page_id, url and text (the main text). range_pages: about how many pages of neighbouring URLs one range holds, as long
+    as there are no more than four ranges for each shuffle partition of the session.
 
     Bounds of the ranges come from a sample; the result does not depend on them. They, and the first and last page of
     each range, are all that the driver sees.
@@ -198,7 +199,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
     name = F.concat_ws("\x01", host, path, F.coalesce(F.lpad(F.col(page_id).cast("decimal(20,0)").cast("string"), 21, "0"), F.lit("~")), F.lpad(F.hex(F.xxhash64(html, url)), 16, "0"))
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"), name.alias("name"))
     total = named.count()
-    parts = max(1, -(-total // range_pages))
+    parts = max(1, min(-(-total // range_pages), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     bounds: list[str] = []
     if parts > 1:
         some = sorted(r["name"] for r in named.select("name").sample(min(1.0, 40 * parts / total), seed=1).collect())
