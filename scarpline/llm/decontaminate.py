@@ -51,7 +51,7 @@ def _filter_bits(windows: DataFrame, size: int) -> Column:
     cells = [0] * (BITS // 64)
     for r in windows.where(F.col("size") == size).select(at.alias("at")).distinct().collect():
         cells[r["at"] >> 6] |= 1 << (r["at"] & 63)
-    return F.lit([c - (1 << 64) if c >> 63 else c for c in cells])
+    return F.lit([c - (1 << 64) if c >> 63 else c for c in cells]).cast("array<bigint>")
 
 
 def _survivors(part: str, size: int, bits: Column) -> Column:
