@@ -7,7 +7,8 @@ Pareto's order, random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))
 source's remaining words are used up. With a ``preference`` column, p differs within a source, in proportion to it.
 
 The size that is fixed is that of the sample in words. A document too large for what is left is passed over, and the
-documents behind it fill the rest, in ``rounds`` passes; so a source ends within a small document of its target.
+documents behind it fill the rest, in ``rounds`` passes at most; so a source ends within a small document of its target.
+From the third pass on, where large documents leave too few others, these may get further copies, up to ``most``.
 
 u is a hash of id and seed: reruns agree, whatever the partitions. Null texts have size 0, are ranked as others and add
 no words. Documents with a null source are a source of their own, the last. Repeated rows share u and are told apart by
@@ -83,7 +84,7 @@ def _keyed(rows: DataFrame, doc_id: str, source: str, size: Column, preference:
     return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_key", "_size").orderBy(doc_id, "_preference")))
 
 
-def mix(docs: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, preference: Column | None = None, seed: int = 7, rounds: int = 4) -> DataFrame:
+def mix(docs: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, preference: Column | None = None, seed: int = 7, rounds: int = 6) -> DataFrame:
     """One row for each document row: id, size, source_size, target, copies, and the columns of KEY, which tell rows apart."""
     keyed = _keyed(docs, doc_id, source, size, preference)
     found = saved(keyed.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("name"), F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size"), F.col("_nth").alias("nth"), F.col("_preference").alias("preference")), "sizes")
@@ -97,18 +98,22 @@ def mix(docs: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str =
     u = (F.shiftrightunsigned(F.xxhash64("key", "size", "nth", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     odds = (u / (1 - u)) / (p / (1 - p))
     rated = rated.withColumns({"certain": F.floor("_rate").cast("int"), "order": odds / (1 + odds)})
-    spare = saved(rated.where(F.col("_rate") > F.col("certain")).select(*KEY, "order"), "order")
-    budget = saved(targets.select("source", (F.col("target") - F.floor(rate) * F.col("source_size")).alias("budget")), "budget")
-    taken = None
+    able = saved(rated.where(F.col("_rate") > F.col("certain")).select(*KEY, "order", "certain"), "order")
+    budget = saved(targets.select("source", "target", (F.col("target") - F.floor(rate) * F.col("source_size")).alias("budget")), "budget")
+    spare, taken = able, None
     for k in range(rounds):
-        step = saved(_front(spare, budget), f"taken{k}")
+        step = saved(_front(spare.select(*KEY, "order"), budget.select("source", "budget")), f"taken{k}")
         used = step.groupBy("source").agg(F.sum("size").alias("_used"))
-        budget = saved(budget.join(used, "source", "left").select("source", (F.col("budget") - F.coalesce("_used", F.lit(0))).alias("budget")), "budget")
+        budget = saved(budget.join(used, "source", "left").select("source", "target", (F.col("budget") - F.coalesce("_used", F.lit(0))).alias("budget")), "budget")
         taken = step if taken is None else taken.unionByName(step)
-        if k + 1 < rounds:  # what is left and fits is looked at from the front again
-            spare = saved(spare.join(step, KEY, "left_anti").join(F.broadcast(budget), "source").where(F.col("size") <= F.col("budget")).drop("budget"), "order")
-    once = rated.join(taken.withColumn("_one", F.lit(1)), KEY, "left")
-    return once.select("id", "source_size", "target", (F.col("certain") + F.coalesce("_one", F.lit(0))).alias("copies"), *KEY)
+        if budget.where("budget > 0.001 * target").isEmpty():
+            break
+        # What is left and fits is looked at from the front again; then, what has fewer copies than it may have.
+        have = taken.groupBy(*KEY).agg(F.count("*").alias("_n"))
+        more = F.coalesce("_n", F.lit(0)) < (1 if k < 2 else F.lit(int(most)) - F.col("certain"))
+        spare = able.join(have, KEY, "left").where(more).join(F.broadcast(budget), "source").where((F.col("size") > 0) & (F.col("size") <= F.col("budget"))).select(*KEY, "order", "certain")
+    once = rated.join(taken.groupBy(*KEY).agg(F.count("*").cast("int").alias("_more")), KEY, "left")
+    return once.select("id", "source_size", "target", (F.col("certain") + F.coalesce("_more", F.lit(0))).alias("copies"), *KEY)
 
 
 def mixed_rows(docs: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", preference: Column | None = None, **options) -> DataFrame:

@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -266,15 +267,20 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
+@cache
+def _zeros(k: int) -> list[int]:
+    """The matrix that appends 2 ** k zero bits to what a crc32 stands for."""
+    if k == 0:
+        return [0xEDB88320] + [1 << i for i in range(31)]
+    half = _zeros(k - 1)
+    return [_times(half, row) for row in half]
+
+
 def crc32_joined(first: int, second: int, size: int) -> int:
     """The crc32 of two byte strings after each other, from theirs; size: bytes of the second."""
-    matrix = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    for _ in range(3):
-        matrix = [_times(matrix, row) for row in matrix]
-    while size:
-        if size & 1:
-            first = _times(matrix, first)
-        matrix, size = [_times(matrix, row) for row in matrix], size >> 1
+    for k in range(size.bit_length()):
+        if size >> k & 1:
+            first = _times(_zeros(k + 3), first)
     return first ^ second
 
 
