@@ -71,5 +71,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op10_sharding)}
 
 
+_LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+_OP3 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), {_WORDS}) AS w FROM documents),
+ l AS (SELECT doc_id, list_transform(range(1, len(w)-11), lambda i: array_to_string(w[i:i+12], ' ')) AS runs FROM d),
+ r AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS i FROM l),
+ f AS (SELECT run, min(doc_id) AS first FROM r GROUP BY run),
+ h AS (SELECT DISTINCT doc_id, i+k AS pos FROM r JOIN f USING (run), range(13) t(k) WHERE first < doc_id),
+ p AS (SELECT doc_id, list(pos) AS gone FROM h GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN p USING (doc_id)"""
+
+_OP6 = rf"""WITH e AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ it AS (SELECT id, w, least(len(w), 10) AS s FROM e WHERE len(w) > 0),
+ b AS (SELECT DISTINCT id, s, unnest(list_transform(range(1, len(w)-s+2), lambda i: array_to_string(w[i:i+s-1], ' '))) AS run FROM it),
+ d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ l AS (SELECT doc_id, s, list_transform(range(1, greatest(len(w)-s+2, 1)), lambda i: array_to_string(w[i:i+s-1], ' ')) AS runs FROM d, (SELECT DISTINCT s FROM it)),
+ r AS (SELECT doc_id, s, unnest(runs) AS run, generate_subscripts(runs, 1) AS i FROM l),
+ h AS (SELECT doc_id, s, i, id FROM r JOIN b USING (s, run)),
+ n AS (SELECT doc_id, count(DISTINCT i+k) AS n_hit FROM h, range(10) t(k) WHERE k < s GROUP BY doc_id),
+ g AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM h GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+_OP7 = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w)-3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) END AS g FROM d),
+ u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM c WHERE 100*k >= 75*(na+nb-k)),
+ z AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT z.a, e.b FROM z JOIN e ON z.b = e.a)
+ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, (SELECT min(b) FROM z WHERE z.a = s.doc_id) AS component_id FROM s"""
+
+_OP8 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html,'')) AS BIGINT) AS n, sha256(coalesce(html,'')) AS d FROM pages), f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that it can express; tests hold the others against brute force."""
+    return {"op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_jaccard_join": _OP7, "op8_warc": _OP8}
