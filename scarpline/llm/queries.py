@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, mixing, quality, sharding, substring_dedup, token_files, warc
+from . import decontaminate, html_text, jaccard_join, license_scan, mixing, quality, sharding, substring_dedup, token_files, warc
 from .common import n_words, saved, scratch, table
 
 
@@ -59,6 +59,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, paths, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct("findings.license"))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max("findings.reduction"), 6).alias("reduction"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = F.coalesce("text", F.lit(""))
@@ -68,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op9_license_scan, op10_sharding)}
 
 
 _LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-from scarpline.llm import decontaminate, html_text, jaccard_join, mixing, quality, rans, sharding, substring_dedup, token_files, warc
+from scarpline.llm import decontaminate, html_text, jaccard_join, license_scan, mixing, quality, rans, sharding, substring_dedup, token_files, warc
 from scarpline.llm.automaton import SuffixAutomaton, spans
 from scarpline.llm.common import n_words
 
@@ -380,6 +380,22 @@ def test_damaged_records():
         list(warc._records(io.BytesIO(whole[:-9])))
 
 
+# --- 9 ---
+
+
+def test_license_scan(spark, docs, empty):
+    prose = corpus()[0][1]
+    filler = " ".join(f"word{i}" for i in range(500))
+    texts = [
+        ("Released under the MIT License.", ["MIT"]), (f"{prose}\nLICENSED under the apache license version 2.0\n{prose}", ["Apache-2.0"]), ("Licensed under CC BY-SA 4.0.\nReleased under the MIT License.", ["CC-BY-SA-4.0", "MIT"]),
+        (f"{filler} This work is licensed under the GNU General Public License, version 2. {filler}", ["GPL-2.0"]), ("He released the version that was licensed to him", []), ("The license", []), (None, []), ("", []), (prose, []),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [f.license for f in r.findings] for r in license_scan.scan(rows).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(texts)}
+    assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).columns == [*docs.columns, "findings"]
+
+
 # --- 10 ---
 
 
