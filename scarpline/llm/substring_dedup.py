@@ -11,9 +11,10 @@ grows with the square of the corpus. So passages are first sent where they can m
    give the maximal spans of ``least`` words and more; then the document's own passages join the automaton.
 4. Spans return to their documents, and the words in them go.
 
-An anchor that more than ``hot`` places share (a license line, a menu) would be one large shard. Its windows are sent
-one by one instead, by a 128-bit hash of their words; the smallest id of each is an aggregate with partial sums, and
-joins on it can be split, so no task gets all of them.
+An anchor that more than ``hot`` places share (a license line, a menu) would be one large shard. Hot anchors that stand
+together make a region, which is sent once, by a 128-bit hash of its words: of equal regions all but the one of the
+smallest id go. The windows of those, and the windows that overlap a region's ends, are sent one by one. Smallest ids are
+aggregates with partial sums, and joins on them can be split, so no task gets all rows of a hot region.
 
 Null texts have no words. A document without id is never earlier than another, and has no earlier ones: it is left
 whole. Rows with one id don't affect each other; repeated rows give equal results. Texts may have any length. Empty
@@ -185,35 +186,72 @@ def anchors(docs: DataFrame, least: int, k: int, hot: int, *, block: int = 600_0
         return saved(back.mapInArrow(_returned, "doc_id long, key long, at array<int>, hash array<long>, hot array<boolean>"), "anchors")
 
 
-_PASSAGE = "shard binary, doc_id long, key long, start int, words binary, hot boolean"
+#: kind: 0 a passage around an anchor, 1 what lies between the hot anchors of a region, 2 a window at a region's ends.
+_PASSAGE = "shard binary, doc_id long, key long, start int, size int, words binary, kind int"
+_PASSAGE_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+
+
+class _Rows:
+    """Rows of _PASSAGE that are put out some thousand at a time."""
+
+    def __init__(self) -> None:
+        self.columns: list[list] = [[] for _ in _PASSAGE_KINDS]
+
+    def add(self, *row) -> None:
+        for column, value in zip(self.columns, row, strict=True):
+            column.append(value)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.columns, _PASSAGE_KINDS, strict=True)], [x.split()[0] for x in _PASSAGE.split(", ")])
+        self.__init__()
+        return out
+
+
+def _key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
-    """What documents send: the words around an anchor; or, around a hot one, each window by itself."""
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
-    out: list[list] = [[] for _ in kinds]
+    """What documents send: the words around each anchor; of hot anchors that stand together, the region between them and the windows at its ends."""
+    rows = _Rows()
     for batch in batches:
         for doc, key, text, places, hashes, hots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = _words(text)
-            done: set[int] = set()
+            regions: list[list[int]] = []
             for at, h, hot in zip(places, hashes, hots, strict=True):
-                first, end = max(0, at - least + k), min(len(words), at + least)
                 if not hot:
-                    row = (h.to_bytes(8, "little", signed=True), doc, key, first, b" ".join(words[first:end]), False)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                    continue
-                for s in range(first, end - least + 1):
-                    if s not in done:
-                        done.add(s)
-                        row = (hashlib.blake2b(b" ".join(words[s : s + least]), digest_size=16).digest(), doc, key, s, None, True)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _PASSAGE.split(", ")])
-                out = [[] for _ in kinds]
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _PASSAGE.split(", ")])
+                    first, end = max(0, at - least + k), min(len(words), at + least)
+                    rows.add(h.to_bytes(8, "little", signed=True), doc, key, first, end - first, b" ".join(words[first:end]), 0)
+                elif regions and at - regions[-1][1] <= least - k + 1:
+                    regions[-1][1] = at
+                else:
+                    regions.append([at, at])
+            for begin, last in regions:
+                end = last + k
+                inside = range(begin, end - least + 1)  # windows that the region holds whole
+                if inside:
+                    rows.add(_key(words[begin:end]), doc, key, begin, end - begin, b" ".join(words[begin:end]), 1)
+                for s in range(max(0, begin - least + k), min(last, len(words) - least) + 1):
+                    if s not in inside:
+                        rows.add(_key(words[s : s + least]), doc, key, s, least, None, 2)
+            if len(rows.columns[0]) > 20_000:
+                yield rows.batch()
+    if rows.columns[0]:
+        yield rows.batch()
+
+
+def _region_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The windows of regions: columns doc_id, key, start, words."""
+    rows = _Rows()
+    for batch in batches:
+        for doc, key, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = raw.split(b" ")
+            for s in range(len(words) - least + 1):
+                rows.add(_key(words[s : s + least]), doc, key, start + s, least, None, 2)
+            if len(rows.columns[0]) > 20_000:
+                yield rows.batch()
+    if rows.columns[0]:
+        yield rows.batch()
 
 
 _SPAN = "doc_id long, key long, first int, end int"
@@ -261,15 +299,22 @@ def removed_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     found = anchors(named, least, k, hot).dropDuplicates(["doc_id", "key"])
     sent = named.join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "at", "hash", "hot")
     sent = saved(sent.mapInArrow(lambda b: _passages(b, least, k), _PASSAGE), "passages")
-    cold = sent.where("not hot").select("shard", "doc_id", "key", "start", "words")
+    cold = sent.where("kind = 0").select("shard", "doc_id", "key", "start", "words")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = cold.repartition(parts, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(lambda b: _matched(b, least), _SPAN)
-    windows = sent.where("hot").select("shard", "doc_id", "key", "start")
-    firsts = windows.groupBy("shard").agg(F.min("doc_id").alias("least"))
-    later = windows.join(firsts, "shard").where("doc_id > least").select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + least).alias("end"))
+    # Equal regions: all but the first go as wholes. The windows of first ones, and those at the ends, are compared one by one.
+    regions = _with_first(sent.where("kind = 1"))
+    heads = regions.where("doc_id = least").select("doc_id", "key", "start", "words")
+    windows = sent.where("kind = 2").unionByName(heads.mapInArrow(lambda b: _region_windows(b, least), _PASSAGE))
+    later = regions.unionByName(_with_first(windows)).where("doc_id > least").select("doc_id", "key", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("end"))
     return streamed.unionByName(later).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Rows with ``least``, the smallest id that has the same words."""
+    return rows.join(rows.groupBy("shard").agg(F.min("doc_id").alias("least")), "shard")
+
+
 _KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
