@@ -37,6 +37,13 @@ from .common import saved
 from .jaccard_join import _hashes, _mixed, _rows_per_batch
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, as texts and anchors take several times their room as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
 
@@ -214,7 +221,7 @@ def _key(words: list[bytes]) -> bytes:
 def _passages(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
     """What documents send: the words around each anchor; of hot anchors that stand together, the region between them and the windows at its ends."""
     rows = _Rows()
-    for batch in batches:
+    for batch in _small(batches):
         for doc, key, text, places, hashes, hots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = _words(text)
             regions: list[list[int]] = []
@@ -319,7 +326,7 @@ _KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
 def _kept(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         out: list[list] = [[], [], [], []]
         for doc, text, firsts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = _words(text)
