@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 
 #: Frequencies sum to 2 ** BITS.
-BITS = 20
+BITS = 18
 LANES = 32
 CHECK = 256
 #: Symbols in a full block.
@@ -49,7 +49,8 @@ class Tables:
         self.none = len(freq)
         self.freq = np.append(freq.astype(np.uint64), np.uint64(1 << BITS))
         self.start = np.append(np.concatenate(([0], np.cumsum(freq.astype(np.uint64))[:-1])) if len(freq) else np.zeros(0), 0).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        # Small tables stay in the processor's cache.
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) < 1 << 16 else np.uint32), freq.astype(np.int64))
 
 
 def encode(symbols: np.ndarray, t: Tables) -> list[bytes]:

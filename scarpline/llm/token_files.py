@@ -19,12 +19,12 @@ them. Columns other than those named are ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -51,20 +51,34 @@ class WordTokenizer:
     PROBE = "It's 3 o'clock,\n\n THE  end... <|endoftext|> café naïve x 中文 a-b_c"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of ASCII letters in lower case the same model without the steps that only change other text.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {"": b""}
         self.mark = self._encode(["\x01"])[0]
         probe = self.PROBE
         self.by_word = len(self.mark) == 1
         if self.by_word:
-            self.by_word = self.encode([probe])[0] == self._bytes(self._encode([probe])[0])
+            try:
+                self.by_word = self.encode([probe])[0] == self._bytes(self._encode([probe])[0])
+            except ValueError:  # marks were lost: not such a tokenizer
+                self.by_word = False
+            self.memo = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _groups(self, words: list[str], tokenizer) -> Iterator[tuple[list[str], list[int]]]:
+        """Words by hundreds, with their ids between marks."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        found = tokenizer.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False) if groups else []
+        return zip(groups, (e.ids for e in found), strict=True)
+
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
@@ -83,9 +97,10 @@ class WordTokenizer:
         todo = list(need.difference(odd))
         for w, ids in zip(odd, self._encode(odd) if odd else [], strict=True):
             memo[w] = self._bytes(ids)
-        groups = [todo[i : i + 500] for i in range(0, len(todo), 500)]
+        easy = [w for w in todo if w.isascii() and w.isalpha()]
+        hard = [w for w in todo if not (w.isascii() and w.isalpha())]
         size = np.dtype(self.kind).itemsize
-        for group, ids in zip(groups, self._encode([" \x01 ".join(g) for g in groups]) if groups else [], strict=True):
+        for group, ids in itertools.chain(self._groups(easy, self.plain), self._groups(hard, self.tokenizer)):
             a = np.array(ids, self.kind)
             ends = np.append(np.flatnonzero(a == self.mark[0]), len(a)).tolist()
             raw, at = a.tobytes(), 0
@@ -100,7 +115,7 @@ class WordTokenizer:
         if not self.by_word:
             return [self._bytes(ids) for ids in self._encode(texts)]
         if len(self.memo) > MEMO:  # common words were met first; they stay
-            self.memo = dict(islice(self.memo.items(), MEMO // 2))
+            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
         split = [t.replace("\n", " ").split(" ") for t in texts]
         missing = set().union(*split).difference(self.memo) if split else set()
         if missing:
