@@ -139,7 +139,7 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
     study = tables.Study(features=("qty_fr",), buffer=700.0, pool_stride=1)
     weights = _weights(spark, d)
     stacked = pixels.sample_stack(presence(spark, d), "id", pixel(spark, d), layer_meta(spark, d), registry, weights, ["qty_fr"])
-    points = stacked.where("qty_fr is not null").select(F.col("id").alias("point_id"), "x", "y").where("point_id <= 40")
+    points = stacked.where("qty_fr is not null").select(F.col("id").alias("point_id"), "x", "y")
     return jobs.training_table(points, pixel(spark, d), layer_meta(spark, d), registry, weights, study, "size")
 
 
