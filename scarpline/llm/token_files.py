@@ -25,6 +25,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -86,7 +87,8 @@ class WordTokenizer:
         memo, need, made = self.memo, set(), []
         for w in words:
             # A word of letters and marks behind them is the letters' ids and the marks' ids; ASCII letters count in lower case.
-            m = None if w.isalpha() else _PLAIN(w)
+            # Where NFC changes a word, its letters can join accents behind them: such a word is encoded as a whole.
+            m = None if w.isalpha() or not is_normalized("NFC", w) else _PLAIN(w)
             a, b = m.groups() if m else (w, "")
             if a.isascii() and a.isalpha():
                 a = a.lower()

@@ -108,6 +108,16 @@ def test_token_files(spark, docs, empty, tokenizer, tmp_path):
     assert token_files.documents(spark, f"{folder}0").count() == 0
 
 
+def test_decomposed_accents(tokenizer):
+    texts = ["cafe\u0301, voila\u0300. nin\u0303 CAFE\u0301! x\u030c; \u0915\u093f, J\u030c. e\u0301\u0323) a\u0301b\u0301? \u0301x", "\u1100\u1161\u11a8. o\u0302\u0301... n\u0303\u0303-", "m\u00b2, \u0391\u0301. \u212b! A\u030a!"]
+    dice = random.Random(3)
+    texts += ["".join(dice.choice("aEn\u03b1 ,.(\u0301\u0303\u0323\u030c\u00e9\u0915\u093c\u4e2d3_'\n") for _ in range(200)) for _ in range(50)]
+    found = token_files.WordTokenizer(tokenizer)
+    assert found.by_word
+    for text, ids in zip(texts, found.encode(texts), strict=True):
+        assert np.frombuffer(ids, found.kind).tolist() == encoded(tokenizer, text)[:-1]
+
+
 # --- 2 ---
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>a="</p>"</script></head><body><nav><ul><li><a href=x>menu {0}</a></ul></nav>
