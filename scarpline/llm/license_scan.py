@@ -2,8 +2,8 @@
 
 Blocks of a text (its lines; long lines in overlapping pieces) that hold a cue, a long word of some template, are compressed
 by themselves and with each template as a zstandard raw dictionary. Templates are ranked by how much they reduce the size;
-the best ``ranked`` are compared with the block word by word, and the one with the fewest differences is the finding if
-its words and those between them differ in at most ``share`` of the template's words.
+the best ``ranked`` are aligned with the window of the block's words that differs least, and the one with the fewest
+differences is the finding if missing and extra words are at most ``share`` of the template's words.
 
 Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. A block has
 one finding at most; equal lines are findings each. Repeated rows give equal results. Texts of any length are cut into
@@ -13,8 +13,9 @@ named are carried along. Templates are a parameter: some dozens of short texts,
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +53,31 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return [w for i, w in enumerate(template) if i not in mine], extra
 
 
+def windows(template: Sequence, text: Sequence, allowed: int, first: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
+    """(differences, start, end) of the windows of the text's words that differ from the template in at most ``allowed``
+    missing and extra words; of windows that overlap, the one with the fewest differences, then the shortest."""
+    n = len(template)
+    costs, starts = list(range(n + 1)), [first] * (n + 1)  # of the template's beginnings against windows that end here
+    ends: list[tuple[int, int, int]] = []
+    for j in range(first, len(text) if end is None else end):
+        word, old, from_ = text[j], costs[0], starts[0]
+        starts[0] = j + 1
+        for i in range(1, n + 1):
+            best = min((costs[i] + 1, -starts[i]), (costs[i - 1] + 1, -starts[i - 1]))
+            if template[i - 1] == word:
+                best = min(best, (old, -from_))
+            old, from_ = costs[i], starts[i]
+            costs[i], starts[i] = best[0], -best[1]
+        if costs[n] <= allowed and starts[n] <= j:
+            ends.append((costs[n], starts[n], j + 1))
+    taken: list[tuple[int, int, int]] = []  # by start
+    for off, s, e in sorted(ends, key=lambda w: (w[0], w[2] - w[1], w[1])):
+        at = bisect.bisect_left(taken, s, key=lambda w: w[1])
+        if (at == 0 or taken[at - 1][2] <= s) and (at == len(taken) or taken[at][1] >= e):
+            taken.insert(at, (off, s, e))
+    return taken
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], share: float, ranked: int) -> None:
         import zstandard
@@ -70,10 +96,9 @@ class Scanner:
         order = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), reverse=True)[: self.ranked]
         found, best = _WORD.findall(text), None
         for reduction, k in order:
-            missing, extra = differences(self.words[k], found)
-            off = len(missing) + len(extra)
-            if off <= self.share * len(self.words[k]) and (best is None or off < best[0]):
-                best = off, (k, reduction, missing, extra)
+            near = min(windows(self.words[k], found, min(int(self.share * len(self.words[k])), len(self.words[k]) - 1)), default=None)
+            if near and (best is None or near[0] < best[0]):
+                best = near[0], (k, reduction, *differences(self.words[k], found[near[1] : near[2]]))
         return best and best[1]
 
     def text(self, text: str) -> list[tuple]:

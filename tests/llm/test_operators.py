@@ -406,6 +406,20 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).columns == [*docs.columns, "findings"]
 
 
+def test_notice_words_around_a_notice():
+    notice = "released under the mit license".split()
+    for text, at in [("foo is released under the mit license see the license file in the root", 2), ("it was released last year now it is released under the mit license", 8)]:
+        assert license_scan.windows(notice, text.split(), 0) == [(0, at, at + 5)]
+    assert license_scan.Scanner({"MIT": "Released under the MIT License."}, 0.1, 1).block("foo is released under the mit license. see the license file.")[0] == "MIT"
+    dice = random.Random(4)
+    for _ in range(300):
+        a, b = ([dice.randrange(4) for _ in range(n)] for n in (dice.randrange(2, 6), dice.randrange(12)))
+        plain = [len(a) + e - s - 2 * longest(a, b[s:e]) for s in range(len(b)) for e in range(s + 1, len(b) + 1)]
+        got = license_scan.windows(a, b, len(a) - 1)
+        assert min((w[0] for w in got), default=len(a)) == min([x for x in plain if x < len(a)], default=len(a))
+        assert all(w[0] == len(a) + w[2] - w[1] - 2 * longest(a, b[w[1] : w[2]]) for w in got) and all(v[2] <= w[1] for v, w in itertools.pairwise(got))
+
+
 # --- 10 ---
 
 
