@@ -1,20 +1,24 @@
 """License scans by conditional compression.
 
-Blocks of a text (its lines; long lines in overlapping pieces) that hold a cue, a long word of some template, are compressed
-by themselves and with each template as a zstandard raw dictionary. Templates are ranked by how much they reduce the size;
-the best ``ranked`` are aligned with the window of the block's words that differs least, and the one with the fewest
-differences is the finding if missing and extra words are at most ``share`` of the template's words.
-
-Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. A block has
-one finding at most; equal lines are findings each. Repeated rows give equal results. Texts of any length are cut into
-pieces; a notice is found whole in one of two pieces that overlap. Empty tables give empty tables; columns other than those
-named are carried along. Templates are a parameter: some dozens of short texts, sent with the tasks.
+A notice is a window of a text's words that differs from a template in missing and extra words that are at most ``share``
+of the template's words. Windows run over line ends. Each template is looked for at all places that hold one of its cues
+(so many of its longest words that a notice can't miss all of them), and aligned word by word there. Of windows of one
+template that overlap, the one with the fewest differences is the finding; a finding that lies within another template's
+with fewer differences is dropped. All others are reported, so equal notices are findings each, and a text that two
+templates fit equally well has both. A finding's reduction is how much smaller the window is when it is compressed with the
+template as a zstandard raw dictionary than by itself.
+
+Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. Repeated
+rows give equal results. Texts of any length are scanned as wholes. Empty tables give empty tables; columns other than
+those named are carried along. Templates are a parameter: some dozens of short texts, sent with the tasks; each must have a
+word.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -40,8 +44,17 @@ _WORD = re.compile(r"\w(?:[\w.\-]*\w)?")
 FINDING = StructType([StructField("license", StringType()), StructField("line", IntegerType()), StructField("reduction", DoubleType()), StructField("missing", ArrayType(StringType())), StructField("extra", ArrayType(StringType()))])
 
 
-def _cues(templates: dict[str, str]) -> list[str]:
-    return sorted({w for t in templates.values() for w in _WORD.findall(t.lower()) if len(w) >= 7})
+def _allowed(words: list[str], share: float) -> int:
+    """So many words may be missing or extra; one of the template has to be there."""
+    return min(int(share * len(words)), len(words) - 1)
+
+
+def _cues(templates: dict[str, str], share: float) -> dict[str, list[str]]:
+    """For each template one word more than may be missing, the longest ones."""
+    words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
+    if bare := sorted(k for k, w in words.items() if not w):
+        raise ValueError(f"Templates without words: {', '.join(bare)}")
+    return {k: sorted(w, key=len, reverse=True)[: _allowed(w, share) + 1] for k, w in words.items()}
 
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
@@ -79,55 +92,76 @@ def windows(template: Sequence, text: Sequence, allowed: int, first: int = 0, en
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], share: float, ranked: int) -> None:
+    def __init__(self, templates: dict[str, str], share: float) -> None:
         import zstandard
 
-        self.share, self.ranked = share, ranked
         self.words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
-        self.cues = re.compile("|".join(map(re.escape, _cues(templates))))
+        self.allowed = {k: _allowed(w, share) for k, w in self.words.items()}
+        cues = _cues(templates, share)
+        self.number = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}))}
+        self.ids = {k: [self.number[w] for w in x] for k, x in self.words.items()}
+        self.cued: dict[int, list[str]] = {}  # templates by cue
+        for k, x in cues.items():
+            for w in set(x):
+                self.cued.setdefault(self.number[w], []).append(k)
+        self.cues = re.compile("|".join(sorted({re.escape(w) for x in cues.values() for w in x})) or r"(?!)")
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        raw = {k: zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, t in templates.items()}
+        raw = {k: zstandard.ZstdCompressionDict(t.lower().encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, t in templates.items()}
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False) for k, d in raw.items()}
-        self.piece = 4 * max((len(w) for w in self.words.values()), default=1)
-
-    def block(self, text: str) -> tuple[str, float, list[str], list[str]] | None:
-        raw = text.encode("utf-8", "surrogatepass")
-        alone = len(self.alone.compress(raw))
-        order = sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items()), reverse=True)[: self.ranked]
-        found, best = _WORD.findall(text), None
-        for reduction, k in order:
-            near = min(windows(self.words[k], found, min(int(self.share * len(self.words[k])), len(self.words[k]) - 1)), default=None)
-            if near and (best is None or near[0] < best[0]):
-                best = near[0], (k, reduction, *differences(self.words[k], found[near[1] : near[2]]))
-        return best and best[1]
+
+    def _ranges(self, ids: array) -> dict[str, list[list[int]]]:
+        """For each template, where in the text it can be: around cues with enough of its words."""
+        out: dict[str, list[list[int]]] = {}
+        for at, x in enumerate(ids):
+            for k in self.cued.get(x, ()):
+                reach, mine = len(self.ids[k]) + self.allowed[k], set(self.ids[k])
+                s, e = max(0, at + 1 - reach), min(len(ids), at + reach)
+                if len(mine.intersection(ids[s:e])) < len(mine) - self.allowed[k]:
+                    continue
+                found = out.setdefault(k, [])
+                if found and s <= found[-1][1]:
+                    found[-1][1] = e
+                else:
+                    found.append([s, e])
+        return out
 
     def text(self, text: str) -> list[tuple]:
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if not self.cues.search(low):
-                continue
-            words = low.split(" ")
-            pieces = [" ".join(words[s : s + self.piece]) for s in range(0, max(1, len(words) - self.piece // 2), self.piece // 2)]
-            before = None
-            for p in pieces:
-                found = self.block(p) if self.cues.search(p) else None
-                if found and found[0] != before:  # a notice where pieces overlap counts once
-                    out.append((found[0], i, *found[1:]))
-                before = found and found[0]
+        """license, line of the first word, reduction, missing and extra words of each finding, by place."""
+        low = text.lower()
+        if not self.cues.search(low):
+            return []
+        ids, places = array("i"), array("q")
+        for m in _WORD.finditer(low):
+            ids.append(self.number.get(m[0], -1))
+            places.append(m.start())
+        near = {k: [w for s, e in r for w in windows(self.ids[k], ids, self.allowed[k], s, e)] for k, r in self._ranges(ids).items()}
+        kept = []
+        for k, found in near.items():
+            for off, s, e in found:
+                within = (x[bisect.bisect_right(x, s, key=lambda w: w[1]) - 1] for x in near.values() if x and x[0][1] <= s)
+                if not any(w[0] < off and e <= w[2] for w in within):
+                    kept.append((s, e, k))
+        out, line, before = [], 0, 0
+        for s, e, k in sorted(kept):
+            line, before = line + low.count("\n", before, places[s]), places[s]
+            window = low[places[s] : _WORD.match(low, places[e - 1]).end()]
+            raw = window.encode("utf-8", "surrogatepass")
+            reduction = 1 - len(self.given[k].compress(raw)) / len(self.alone.compress(raw))
+            out.append((k, line, reduction, *differences(self.words[k], _WORD.findall(window))))
         return out
 
 
-def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, share: float = 0.1, ranked: int = 3) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, share: float = 0.1) -> DataFrame:
     """Every row with ``findings``: license, line, reduction, and the words that are missing and extra."""
+    cues = sorted({w for x in _cues(templates, share).values() for w in x})
 
     @F.pandas_udf(ArrayType(FINDING))
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(templates, share, ranked)
+        scanner = Scanner(templates, share)
         names = FINDING.fieldNames()
         for batch in texts:
             yield pd.Series([[dict(zip(names, f, strict=True)) for f in scanner.text(t)] if t else [] for t in batch])
 
     # Texts without a cue are told apart before anything is sent to Python.
-    cue = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("|".join(re.escape(c) for c in _cues(templates)))
+    cue = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("|".join(re.escape(c) for c in cues) or "(?!)")
     return docs.drop("findings").withColumn("findings", found(F.when(cue, F.col(text))))

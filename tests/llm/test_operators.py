@@ -406,11 +406,15 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).columns == [*docs.columns, "findings"]
 
 
+def found_licenses(text, templates=license_scan.TEMPLATES):
+    return [f[:2] for f in license_scan.Scanner(templates, 0.1).text(text)]
+
+
 def test_notice_words_around_a_notice():
     notice = "released under the mit license".split()
     for text, at in [("foo is released under the mit license see the license file in the root", 2), ("it was released last year now it is released under the mit license", 8)]:
         assert license_scan.windows(notice, text.split(), 0) == [(0, at, at + 5)]
-    assert license_scan.Scanner({"MIT": "Released under the MIT License."}, 0.1, 1).block("foo is released under the mit license. see the license file.")[0] == "MIT"
+    assert found_licenses("Foo is released under the MIT License. See the LICENSE file in the root of this repository for details.") == [("MIT", 0)]
     dice = random.Random(4)
     for _ in range(300):
         a, b = ([dice.randrange(4) for _ in range(n)] for n in (dice.randrange(2, 6), dice.randrange(12)))
@@ -420,6 +424,23 @@ def test_notice_words_around_a_notice():
         assert all(w[0] == len(a) + w[2] - w[1] - 2 * longest(a, b[w[1] : w[2]]) for w in got) and all(v[2] <= w[1] for v, w in itertools.pairwise(got))
 
 
+def test_notices_over_lines_and_side_by_side(spark):
+    mit, bsd = (license_scan.TEMPLATES[k] for k in ("MIT-text", "BSD-text"))
+    wrap = lambda t, n: "\n".join(f" * {' '.join(x)}" for x in itertools.batched(t.split(" "), n))
+    assert found_licenses(f"Copyright\n{wrap(mit, 6)},\nincluding\n{wrap(bsd, 3)}") == [("MIT-text", 1), ("BSD-text", 7)]
+    assert found_licenses("Licensed under CC BY 4.0. Released under the MIT License.") == [("CC-BY-4.0", 0), ("MIT", 0)]
+    assert found_licenses("Released under the MIT License. " * 3 + "\nReleased under\nthe MIT License.") == [("MIT", 0)] * 3 + [("MIT", 1)]
+    changed = mit.replace("any person", "any one person").replace("free of charge, ", "free of, ")
+    assert [f[3:] for f in license_scan.Scanner(license_scan.TEMPLATES, 0.1).text(f"x {changed} y")] == [(["charge"], ["one"])]
+    assert found_licenses(mit.replace("free of charge, ", "")) == []
+    more = {f"T{i}": f"use as is {i}" for i in range(8)}
+    assert found_licenses("; ".join(more.values()), more) == [(k, 0) for k in more]
+    rows = spark.createDataFrame([(0, "You may\nuse as is 3 times")], "doc_id long, text string")
+    assert [f.license for f in license_scan.scan(rows, templates=more).first().findings] == ["T3"]
+    with pytest.raises(ValueError):
+        license_scan.scan(rows, templates={"none": "--"})
+
+
 # --- 10 ---
 
 
