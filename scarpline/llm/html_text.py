@@ -8,8 +8,9 @@ A line that the pair shares is the host's template and is deleted, with these ex
   article do; it stays unless it is in a part that never is main text (below);
 * a pair of which one has no line that the other lacks are copies, and say nothing about the template;
 * menus, headers outside the article, footers, sidebars, forms, adverts, notices and comments differ from page to page on
-  some hosts; elements of these kinds, known by tag, role, class or id, are deleted whether shared or not. If a page has an
-  article or main element, what is outside it is deleted too.
+  some hosts; elements of these kinds, known by tag, role, a whole class or a whole id, are deleted whether shared or not,
+  unless they hold an article or main element; headings within an article are never told by class or id. If a page's
+  articles have at least as much text as the lines outside them that differencing keeps, those lines are deleted too.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed.
 
@@ -39,27 +40,40 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "m
 APART = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "head"}
 OWN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-#: Words of class and id attributes that name parts apart from the main text.
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "search", "skip"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Classes that name parts apart from the main text.
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager", "search", "skip"} | {
+    "ad-banner", "ad-box", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "adsbygoogle", "comment-body", "comment-form", "comment-list", "comment-respond", "comments-area", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice",
+    "main-menu", "main-nav", "main-navigation", "nav-links", "nav-menu", "newsletter-form", "newsletter-signup", "post-navigation", "related-articles", "related-posts", "search-form", "share-buttons", "site-footer", "site-header", "site-nav",
+    "site-navigation", "skip-link", "social-icons", "social-links", "social-share",
+}
+#: Ids that do so, and those of them that do it within an article too, where ids are mostly made from headings.
+IDS_WITHIN = {"comments", "disqus_thread", "respond"}
+IDS = IDS_WITHIN | {"ads", "breadcrumbs", "cookie-banner", "cookie-consent", "cookie-notice", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "sidebar", "site-footer", "site-header"}
+#: Classes of an article element that is a reader's comment.
+COMMENT = {"comment", "comment-body"}
 #: Elements that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 def _apart(tag: str, attributes: str, inside_own: bool) -> bool:
-    """Whether an element never holds main text."""
+    """Whether an element never holds main text, unless it holds an article or main element."""
     if tag in APART or tag == "header" and not inside_own:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):  # names within values are part of the values
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
-        if key in ("class", "id") and tag not in OWN and not NAMES.isdisjoint(_NAME.findall(value)):
+        if tag in HEADINGS and inside_own:
+            continue
+        if key == "class" and not (COMMENT if tag in OWN else NAMES).isdisjoint(value.split()):
+            return True
+        if key == "id" and tag not in OWN and value.strip() in (IDS_WITHIN if inside_own else IDS):
             return True
     return False
 
@@ -67,17 +81,20 @@ def _apart(tag: str, attributes: str, inside_own: bool) -> bool:
 def lines(html: str) -> tuple[list[str], list[int]]:
     """A page's text blocks, and for each: 0 apart from the main text, 1 undecided, 2 in an article or main element."""
     found: list[str] = []
-    kinds: list[int] = []
+    within: list[tuple[int, bool]] = []  # of each block: the innermost open element apart from the main text (-1: none), and whether in an article or main
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that matter, and the kind of text in them
-    kind, at, end = 1, 0, len(html)
+    stack: list[tuple[str, tuple[int, bool]]] = []  # open elements that matter, and the same of the text in them
+    around: dict[int, int] = {}  # the element apart around each such element
+    kept = {-1}  # elements that would be apart but hold an article or main, so that those around them do too
+    none = (-1, False)
+    now, at, end = none, 0, len(html)
 
     def close() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 found.append(text)
-                kinds.append(kind)
+                within.append(now)
             parts.clear()
 
     while at < end:
@@ -99,7 +116,7 @@ def lines(html: str) -> tuple[list[str], list[int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    kind = stack[-1][1] if stack else 1
+                    now = stack[-1][1] if stack else none
                     break
             continue
         if tag == "br":
@@ -110,19 +127,25 @@ def lines(html: str) -> tuple[list[str], list[int]]:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = stop.end() if stop else end
             continue
-        apart = _apart(tag, m[3], kind == 2)
+        apart = _apart(tag, m[3], now[1])
         if tag not in INLINE or apart:
             close()
         if tag in VOID or m[3].endswith("/") and tag not in INLINE:
             continue
         if tag in ENDS_P and stack and stack[-1][0] == "p":
             stack.pop()
-            kind = stack[-1][1] if stack else 1
+            now = stack[-1][1] if stack else none
         if tag not in INLINE or apart:
-            kind = 0 if apart or kind == 0 else 2 if tag in OWN else kind
-            stack.append((tag, kind))
+            outer = now[0]
+            if apart:
+                around[at] = outer
+            while tag in OWN and not apart and outer not in kept:
+                kept.add(outer)
+                outer = around[outer]
+            now = at if apart else now[0], now[1] or tag in OWN and not apart
+            stack.append((tag, now))
     close()
-    return found, kinds
+    return found, [0 if apart not in kept else 2 if own else 1 for apart, own in within]
 
 
 def _ends(a: list[int], b: list[int]) -> np.ndarray:
@@ -174,8 +197,11 @@ def difference(page: tuple[list[str], list[int]], neighbour: list[str] | None) -
         common = shared(a, b)
         if len(common) < min(len(a), len(b)):
             template = set(common)
-    own = 2 in kinds
-    return "\n".join(x for i, (x, k) in enumerate(zip(text, kinds, strict=True)) if k == 2 or k == 1 and not own and i not in template)
+    own = sum(len(x) for x, k in zip(text, kinds, strict=True) if k == 2)
+    rest = {i for i, k in enumerate(kinds) if k == 1 and i not in template}
+    if own and own >= sum(len(text[i]) for i in rest):
+        rest = set()
+    return "\n".join(x for i, (x, k) in enumerate(zip(text, kinds, strict=True)) if k == 2 or i in rest)
 
 
 @F.pandas_udf(StructType([StructField("text", ArrayType(StringType())), StructField("kind", ArrayType(IntegerType()))]))

@@ -130,6 +130,25 @@ def test_lines_of_a_page():
     assert html_text.lines("") == ([], []) and html_text.lines("plain &am")[0] == ["plain &am"] and html_text.lines("cut <p")[0] == ["cut"]
 
 
+def main_text(html, neighbour=None):
+    return html_text.difference(html_text.lines(html), neighbour)
+
+
+def test_names_are_whole_classes_and_few_ids():
+    article = "<article><h2 id='search-algorithms'>A</h2><h2 id='search'>B</h2><section id='related-work'>C</section><p class='market-share'>D</p><p title='a hidden x'>E</p><h3 id='comments-on-the-data'>F</h3></article>"
+    for outside in ("class='page has-sidebar'", "class='no-sidebar'", "id='content-with-sidebar'", "class='sidebar'", "title='the hidden valley'"):
+        assert main_text(f"<div {outside}>{article}</div>") == "A\nB\nC\nD\nE\nF"
+    assert main_text(f"<form id=aspnet><nav>n</nav>{article}<div hidden>h</div></form>") == "A\nB\nC\nD\nE\nF"
+    assert main_text("<p>a <a title='the hidden valley'>b</a> c</p><p data-x=\"class='ad'\">d</p><div class='x ad'>no</div><div aria-hidden=true>no</div>") == "a b c\nd"
+    assert main_text("<main><p>a</p><div id=comments><article class='comment even'>no</article></div><aside>no</aside></main>") == "a"
+
+
+def test_small_articles_leave_the_rest_to_differencing():
+    page = "<div>Site</div><div class=post><p>the long text of a post</p></div><article>card</article>"
+    assert main_text(page, ["Site", "other"]) == "the long text of a post\ncard"
+    assert main_text("<div>Site</div><p>by me</p><article>the long text of a post</article>", ["Site", "other"]) == "the long text of a post"
+
+
 def longest(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
