@@ -20,16 +20,16 @@ them. Columns other than those named are ignored, so clashing names do no harm.
 from __future__ import annotations
 
 import itertools
-import re
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,92 +38,131 @@ from pyspark.sql.types import LongType
 from . import rans
 from .common import saved
 
-#: Words whose ids a worker keeps; beyond, it forgets the later half.
-MEMO = 700_000
-_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s'\x01]+)").fullmatch
+#: ASCII marks; behind letters they are tokens of their own. The apostrophe is not one of them, as it can begin one together with letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that NFC leaves as they are and that have one letter in lower case each: of ASCII, Latin-1 and Latin Extended-A, but for U+0130.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ſ]+$"
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at the starts, one after the other."""
+    if not len(sizes):
+        return flat[:0]
+    ends = np.cumsum(sizes)
+    kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    at += np.arange(ends[-1], dtype=kind)
+    return flat[at]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 class WordTokenizer:
-    """Ids of texts from a tokenizer that drops white space and splits at it, so that each word can be encoded once.
+    """Ids of texts from a tokenizer that drops white space and splits at it, so that each different word of a batch is encoded once.
 
-    Whether the tokenizer is such a one is tried on a probe; if not, whole texts are encoded.
+    Words of letters with marks behind them are encoded in two parts, the letters in lower case by the same model without the
+    steps that only change other text. Whether the tokenizer is such a one is tried on a probe; if not, whole texts are
+    encoded. Nothing is kept from batch to batch.
     """
 
-    PROBE = "It's 3 o'clock,\n\n THE  end... <|endoftext|> café naïve x 中文 a-b_c"
+    PROBE = "It's 3 o'clock,\n\n THE  end... <|endoftext|> café, Naïve x 中文 a-b_c cafe\u0301, \u0130-"
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For words of ASCII letters in lower case the same model without the steps that only change other text.
-        self.plain = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {"": b""}
-        self.mark = self._encode(["\x01"])[0]
-        probe = self.PROBE
-        self.by_word = len(self.mark) == 1
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # whether a word ends with the id
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.mark = self._ids(["\x01"])
+        self.by_word = bool(suffix) and len(self.mark) == 1
         if self.by_word:
             try:
-                self.by_word = self.encode([probe])[0] == self._bytes(self._encode([probe])[0])
-            except ValueError:  # marks were lost: not such a tokenizer
+                self.by_word = np.array_equal(self.encode(pa.array([self.PROBE]))[0], self._ids([self.PROBE]))
+            except ValueError:  # words can't be told apart: not such a tokenizer
                 self.by_word = False
-            self.memo = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _groups(self, words: list[str], tokenizer) -> Iterator[tuple[list[str], list[int]]]:
-        """Words by hundreds, with their ids between marks."""
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        found = tokenizer.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False) if groups else []
-        return zip(groups, (e.ids for e in found), strict=True)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        memo, need, made = self.memo, set(), []
-        for w in words:
-            # A word of letters and marks behind them is the letters' ids and the marks' ids; ASCII letters count in lower case.
-            # Where NFC changes a word, its letters can join accents behind them: such a word is encoded as a whole.
-            m = None if w.isalpha() or not is_normalized("NFC", w) else _PLAIN(w)
-            a, b = m.groups() if m else (w, "")
-            if a.isascii() and a.isalpha():
-                a = a.lower()
-            need.update(x for x in (a, b) if x not in memo)
-            if a != w:
-                made.append((w, a, b))
-        odd = [w for w in need if "\x01" in w or "<|" in w]
-        todo = list(need.difference(odd))
-        for w, ids in zip(odd, self._encode(odd) if odd else [], strict=True):
-            memo[w] = self._bytes(ids)
-        easy = [w for w in todo if w.isascii() and w.isalpha()]
-        hard = [w for w in todo if not (w.isascii() and w.isalpha())]
-        size = np.dtype(self.kind).itemsize
-        for group, ids in itertools.chain(self._groups(easy, self.plain), self._groups(hard, self.tokenizer)):
-            a = np.array(ids, self.kind)
-            ends = np.append(np.flatnonzero(a == self.mark[0]), len(a)).tolist()
-            raw, at = a.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                memo[w] = raw[at * size : end * size]
-                at = end + 1
-        for w, a, b in made:
-            memo[w] = memo[a] + memo[b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian numbers."""
+
+    def _ids(self, texts: list[str], tokenizer=None) -> np.ndarray:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, self.kind) for e in found] or [np.zeros(0, self.kind)])
+
+    @staticmethod
+    def _joined(words: pa.Array, by: str, size: int = 500) -> list[str]:
+        """Words in texts of some hundred, without a Python object for each."""
+        cuts = np.append(np.arange(0, len(words), size), len(words)).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), by).to_pylist()
+
+    def _parts(self, letters: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these words after each other, and how many each has."""
+        easy = self._ids(self._joined(letters, " "), self.plain)
+        sizes = np.diff(np.append(-1, np.flatnonzero(self.ends[easy])))
+        odd = np.array(pc.match_substring_regex(others, "\x01|<\\|"), bool)  # marks themselves, and perhaps special tokens
+        marked = self._ids([" \x01 ".join(["", *others.filter(pa.array(~odd)).slice(i, 500).to_pylist(), ""]) for i in range(0, int((~odd).sum()), 500)])
+        at = np.flatnonzero(marked == self.mark[0])
+        # Each text of 500 words begins with a mark and ends with one.
+        inner = np.diff(at) - 1
+        first = np.cumsum([min(500, int((~odd).sum()) - i) + 1 for i in range(0, int((~odd).sum()), 500)]) - 1
+        inner = np.delete(inner, first[:-1]) if len(first) > 1 else inner
+        whole = [self._ids([w]) for w in others.filter(pa.array(odd)).to_pylist()]
+        if len(sizes) != len(letters) or len(inner) != int((~odd).sum()):
+            raise ValueError("words can't be told apart by their ids")
+        count = np.empty(len(others), np.int64)
+        count[~odd], count[odd] = inner, [len(w) for w in whole]
+        kept = np.concatenate([marked[marked != self.mark[0]], *whole])
+        # The others are put back in their order.
+        place = np.empty(len(others), np.int64)
+        place[~odd], place[odd] = _starts(inner), int(inner.sum()) + _starts(count[odd])
+        return np.concatenate([easy, _gathered(kept, place, count)]), np.concatenate([sizes, count])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and how many each has; ``end`` is an id behind each text."""
+        tail = np.array([] if end is None else [end], self.kind)
         if not self.by_word:
-            return [self._bytes(ids) for ids in self._encode(texts)]
-        if len(self.memo) > MEMO:  # common words were met first; they stay
-            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.memo) if split else set()
-        if missing:
-            self._learn(missing)
-        ids = self.memo.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+            found = [np.append(self._ids([t]), tail) for t in texts.to_pylist()]
+            return np.concatenate(found or [tail[:0]]), np.array([len(f) for f in found], np.int64)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        known = words.flatten().dictionary_encode()
+        every = known.dictionary
+        stems = pc.ascii_rtrim(every, _MARKS)
+        plain = np.array(pc.match_substring_regex(stems, _LETTERS), bool)
+        letters = pc.utf8_lower(stems.filter(pa.array(plain))).dictionary_encode()
+        marks = _suffixes(every.filter(pa.array(plain)), stems.filter(pa.array(plain))).dictionary_encode()
+        others = pa.concat_arrays([every.filter(pa.array(~plain)), marks.dictionary])
+        flat, sizes = self._parts(letters.dictionary, others)
+        starts, n, hard = _starts(sizes), len(letters.dictionary), int((~plain).sum())
+        # Two parts for each word; the second one of words that are encoded as wholes is empty.
+        part = np.full((len(every), 2), -1)
+        part[plain, 0], part[plain, 1] = letters.indices.to_numpy(), marks.indices.to_numpy() + n + hard
+        part[~plain, 0] = np.arange(hard) + n
+        flat, starts, sizes = np.append(flat, tail), np.append(starts, [len(flat), 0]), np.append(sizes, [len(tail), 0])
+        word_ids = _gathered(flat, starts[part.ravel()], sizes[part.ravel()])
+        word_sizes = sizes[part].sum(1)
+        # And the end is one more word behind each text's.
+        flat, word_sizes = np.append(word_ids, tail), np.append(word_sizes, len(tail))
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        sequence = np.insert(known.indices.to_numpy(), offsets[1:], len(every))
+        counts = word_sizes[sequence]
+        total = np.append(0, np.cumsum(counts))[offsets + np.arange(len(offsets))]
+        return _gathered(flat, _starts(word_sizes)[sequence], counts), np.diff(total)
+
+
+def _suffixes(whole: pa.Array, stems: pa.Array) -> pa.Array:
+    """What each string has behind its stem."""
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    size = pc.binary_length(stems).to_numpy(False).astype(np.int64)
+    sizes = np.diff(at) - size
+    raw = _gathered(np.frombuffer(data or b"", np.uint8), at[:-1] + size, sizes)
+    return pa.Array.from_buffers(pa.string(), len(whole), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(raw)])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -135,23 +174,22 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, ids (binary, little-endian numbers of the vocabulary's width), n_tokens; tokenizer: a file's path, there on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
-        end, size = np.array([end_id], t.kind).tobytes(), np.dtype(t.kind).itemsize
+        width = np.dtype(t.kind).itemsize
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids: list[bytes] = []
-            chars, first = 0, 0
-            for i, x in enumerate(texts):
-                texts[i] = x or ""
-                chars += len(texts[i])
-                if chars > batch_chars or i + 1 == len(texts):
-                    ids += [x + end for x in t.encode(texts[first : i + 1])]
-                    chars, first = 0, i + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+            texts = pc.fill_null(batch.column(1), "")
+            cuts = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64)) // batch_bytes, prepend=0))
+            for first, last in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if first == last:
+                    continue
+                ids, sizes = t.encode(texts.slice(first, last - first), end_id)
+                offsets = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), raw, pa.array(sizes)], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
@@ -160,11 +198,10 @@ def _symbol_counts(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(n) > len(total):
-                    total = np.append(total, np.zeros(len(n) - len(total), np.int64))
-                total[: len(n)] += n
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)), b"")
+            n = np.bincount(np.frombuffer(whole[0].as_buffer(), kind), minlength=len(total))
+            n[: len(total)] += total
+            total = n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["symbol", "n"])
 

@@ -7,8 +7,10 @@ import os
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,10 +88,15 @@ def test_crc32_joined():
         assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
-def encoded(path, text):
+@cache
+def whole_text_tokenizer(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(path)
+
+
+def encoded(path, text):
+    return whole_text_tokenizer(path).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_token_files(spark, docs, empty, tokenizer, tmp_path):
@@ -114,8 +121,21 @@ def test_decomposed_accents(tokenizer):
     texts += ["".join(dice.choice("aEn\u03b1 ,.(\u0301\u0303\u0323\u030c\u00e9\u0915\u093c\u4e2d3_'\n") for _ in range(200)) for _ in range(50)]
     found = token_files.WordTokenizer(tokenizer)
     assert found.by_word
-    for text, ids in zip(texts, found.encode(texts), strict=True):
-        assert np.frombuffer(ids, found.kind).tolist() == encoded(tokenizer, text)[:-1]
+    assert_same_ids(found, texts, tokenizer)
+
+
+def assert_same_ids(found, texts, tokenizer):
+    ids, sizes = found.encode(pa.array(texts, pa.string()), 2)
+    for text, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert part.tolist() == encoded(tokenizer, text)
+
+
+def test_random_unicode_words(tokenizer):
+    dice = random.Random(5)
+    pools = ["abcXYZ", "\u00e9\u00c9\u00fc\u00df\u0131\u0130\u017f\u0149\u00ff\u0178\u0132", "\u0301\u0300\u0338\u0307\u0323\u093c\u093f\u0903", "'.,;-_<>|!#", "0123\u0663\u00b2\u00bd", "\u4e2d\u65e5\ud55c\uae00\u03a3\u03c2\u03c3\u0410\u0915\u0958\u212b\u1e9b", " \t\r\x0b\x1c\x85\u00a0\u200b\u3000\ufeff", "\x01\x00\x7f", "\U0001d400\U0001f600"]
+    word = lambda: "".join(dice.choice(dice.choice(pools)) for _ in range(dice.randint(0, 7)))
+    texts = [dice.choice([" ", "\n", "  "]).join(word() for _ in range(dice.randint(0, 12))) for _ in range(3000)]
+    assert_same_ids(token_files.WordTokenizer(tokenizer), [*texts, "<|endoftext|> a<|startoftext|>b", "it's o'clock' 'tis I'll,'ve", "", "\n\n", " "], tokenizer)
 
 
 # --- 2 ---
