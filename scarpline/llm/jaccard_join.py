@@ -3,7 +3,8 @@
 The incidence matrix of documents by n-grams is cut into blocks: some thousand documents by one range of n-gram hashes.
 
 1. Each block's n-grams meet the blocks of all other documents in the same range, and get their document counts. Those of
-   one document alone can't add to any overlap and go.
+   one document alone can't add to any overlap and go. Blocks send each n-gram once, with its count, so that one that very
+   many documents have is as many entries as there are blocks.
 2. The rest returns to its documents. A document whose remaining n-grams are fewer than the share ``threshold`` of its
    size can't link with any other, by its size alone, and goes; of large corpora this leaves the near copies.
 3. Documents of equal sets become one row. Of each row the rarest ``rest - ceil(threshold * size) + 1`` n-grams are
@@ -25,53 +26,29 @@ tables give empty tables. Columns other than those named are ignored, so clashin
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import gram_hashes, saved, slices, word_hashes
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Stands for the document of an n-gram that several documents of a block have.
+SEVERAL = 0xFFFF
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; starts anew when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams of words."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at ASCII white space alone
-    count = len(found)
-    if not count:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, found), np.uint64, count)
-    size = min(n, count)
-    out = np.full(count - size + 1, size, np.uint64)
-    for i in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[i : count - size + 1 + i]
-    return np.unique(_mixed(out))
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-grams of words."""
+    words, begins = word_hashes(pc.ascii_lower(pc.fill_null(texts, "")))
+    grams = gram_hashes(words, n)
+    ends = itertools.pairwise(begins.tolist())
+    return [np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(words[a:b], b - a) if b > a else words[:0] for a, b in ends]
 
 
 @contextmanager
@@ -86,8 +63,8 @@ def _rows_per_batch(spark: SparkSession, rows: int):
         spark.conf.set(key, old)
 
 
-_INCIDENCE = "batch long, range int, docs array<long>, sizes array<long>, sets array<long>, idx binary, hash binary, count binary"
-_KINDS = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3, *[pa.binary()] * 3]
+_INCIDENCE = "batch long, range int, docs array<long>, keys array<long>, sizes array<long>, sets array<long>, idx binary, hash binary, count binary"
+_KINDS = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3]
 _NAMES = [c.split()[0] for c in _INCIDENCE.split(", ")]
 
 
@@ -96,11 +73,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str, n: int, ranges: int, block: int) -> DataFrame:
-    """The incidence matrix in blocks; a block's documents themselves are one row more."""
+    """The incidence matrix in blocks, each cut into ranges of hashes: an n-gram of one document with that document's number,
+    one of several documents once, with their count. The block's documents, and which of them share n-grams, are one row more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         ids: list = []
+        keys: list = []
         sets: list[np.ndarray] = []
         total = 0
 
@@ -108,56 +88,64 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, n: int, ranges: int, block:
             import xxhash
 
             sizes = [len(s) for s in sets]
-            keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64).tolist()
-            yield _batch([(number, number % ranges, list(ids), sizes, keys, None, None, None)])
+            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64).tolist()
             every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-            place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            order = np.argsort(place, kind="stable")
+            sets.clear()
+            order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
-            cuts = np.searchsorted(place[order], np.arange(ranges + 1, dtype=np.uint64))
+            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else order
+            count = np.diff(np.append(starts, len(every))).astype(np.uint32)
+            within = np.repeat(count > 1, count)
+            yield _batch([(number, number % ranges, list(ids), list(keys), sizes, names, owner[within].tobytes(), every[within].tobytes(), None)])
+            every, owner = every[starts], np.where(count > 1, np.uint16(SEVERAL), owner[starts])
+            place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)  # ascends, as the hashes do
+            cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
             rows = []
             for r in range(ranges):
                 if cuts[r] < cuts[r + 1]:
                     part = slice(cuts[r], cuts[r + 1])
-                    rows.append((number, r, None, None, None, owner[part].tobytes(), every[part].tobytes(), None))
+                    rows.append((number, r, None, None, None, None, owner[part].tobytes(), every[part].tobytes(), count[part][owner[part] == SEVERAL].tobytes()))
                 if len(rows) == 64 or rows and r + 1 == ranges:
                     yield _batch(rows)
                     rows = []
 
-        for batch in batches:
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingles(words.as_py(), n)
+        for batch in slices(batches):
+            for doc, key, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), n), strict=True):
                 ids.append(doc)
+                keys.append(key)
                 sets.append(found)
                 total += len(found)
                 if total >= block or len(ids) == 65_000:
                     yield from flush()
-                    ids, sets, total, number = [], [], 0, number + 1
+                    ids, keys, total, number = [], [], 0, number + 1
         if ids:
             yield from flush()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _INCIDENCE)
+    content = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(content), content).mapInArrow(run, _INCIDENCE)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of one range, which stand together: n-grams of one document go, others get their counts."""
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes = [np.frombuffer(r[6], np.uint64) for r in rows]
+        hashes = [np.frombuffer(r[7], np.uint64) for r in rows]
         every = np.concatenate(hashes)
+        owner = np.concatenate([np.frombuffer(r[6], np.uint16) for r in rows])
+        count = np.ones(len(every), np.uint32)
+        count[owner == SEVERAL] = np.concatenate([np.frombuffer(r[8], np.uint32) for r in rows])
         order = np.argsort(every)
         ordered = every[order]
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        lengths = np.diff(np.append(starts, len(ordered)))
-        count = np.empty(len(every), np.uint16)
-        count[order] = np.repeat(np.minimum(lengths, 65_535), lengths)
+        total = np.add.reduceat(count[order], starts)
+        count[order] = np.repeat(total, np.diff(np.append(starts, len(ordered))))
         at, out = 0, []
         for r, h in zip(rows, hashes, strict=True):
-            c = count[at : at + len(h)]
+            c, o = count[at : at + len(h)], owner[at : at + len(h)]
             at += len(h)
             more = c > 1
             if more.any():
-                out.append((r[0], r[1], None, None, None, np.frombuffer(r[5], np.uint16)[more].tobytes(), h[more].tobytes(), c[more].tobytes()))
+                out.append((r[0], r[1], None, None, None, None, o[more].tobytes(), h[more].tobytes(), c[more].tobytes()))
             if len(out) == 256:
                 yield _batch(out)
                 out = []
@@ -178,17 +166,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-_REDUCED = "doc_id long, size long, set long, rest array<long>"
+_REDUCED = "doc_id long, key long, size long, set long, rest array<long>"
 
 
 def _reduced(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Documents of one block, which stand together, with what is left of their n-grams, rarest first; null if too few are left."""
 
     def flush(docs: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array(docs[3], np.int64)
+        sizes = np.array(docs[4], np.int64)
         rest: list = [None] * len(sizes)
         if rows:
-            idx, hashes, count = (np.concatenate([np.frombuffer(r[i], k) for r in rows]) for i, k in ((5, np.uint16), (6, np.uint64), (7, np.uint16)))
+            idx, hashes, count = (np.concatenate([np.frombuffer(r[i], k) for r in rows]) for i, k in ((6, np.uint16), (7, np.uint64), (8, np.uint32)))
+            several = idx == SEVERAL
+            # N-grams of several documents of the block: the row of documents says which.
+            known, inside = np.sort(hashes[several]), np.frombuffer(docs[7], np.uint64)
+            counts = count[several][np.argsort(hashes[several])][np.searchsorted(known, inside)]
+            idx, hashes, count = np.append(idx[~several], np.frombuffer(docs[6], np.uint16)), np.append(hashes[~several], inside), np.append(count[~several], counts)
             left = np.bincount(idx, minlength=len(sizes))
             enough = (left > 0) & (100 * left >= percent * sizes)
             some = enough[idx]
@@ -198,7 +191,8 @@ def _reduced(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             cuts = np.searchsorted(idx, np.arange(len(sizes) + 1))
             for i in np.flatnonzero(enough):
                 rest[i] = hashes[cuts[i] : cuts[i + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(docs[2], pa.int64()), pa.array(sizes), pa.array(docs[4], pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["doc_id", "size", "set", "rest"])
+        columns = [pa.array(docs[2], pa.int64()), pa.array(docs[3], pa.int64()), pa.array(sizes), pa.array(docs[5], pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "size", "set", "rest"])
 
     docs, held = None, []
     for batch in batches:
@@ -213,16 +207,16 @@ def _reduced(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield flush(docs, held)
 
 
-def reduced_sets(docs: DataFrame, *, doc_id: str, text: str, n: int, percent: int, block: int = 1_500_000, range_bytes: int = 12_000_000) -> DataFrame:
-    """One row for each document row: doc_id, size (of its set), set (the set's hash), rest (n-grams left, rarest first, or null)."""
+def reduced_sets(docs: DataFrame, *, doc_id: str, text: str, n: int, percent: int, block: int = 1_200_000, range_bytes: int = 10_000_000) -> DataFrame:
+    """One row for each document row: doc_id, key (a hash of the text), size (of its set), set (the set's hash), rest (n-grams left, rarest first, or null)."""
     spark = docs.sparkSession
     amount = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, -(-amount // range_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _rows_per_batch(spark, 48):
         blocks = _blocks(docs, doc_id, text, n, ranges, block)
-        # Ranges are many more than tasks, or as many: each task holds one range at a time.
-        counted = blocks.repartition(max(parts, ranges), "range").sortWithinPartitions("range").mapInArrow(_counted, _INCIDENCE)
+        # One task for each range.
+        counted = blocks.repartitionById(ranges, "range").sortWithinPartitions("range").mapInArrow(_counted, _INCIDENCE)
         back = counted.repartition(parts, "batch").sortWithinPartitions("batch", F.col("docs").isNull())
         return saved(back.mapInArrow(lambda b: _reduced(b, percent), _REDUCED), "sets")
 
@@ -308,7 +302,8 @@ def _block_edges(members: DataFrame, rows: DataFrame, percent: int, block: int)
 
 
 def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block: int = 1500) -> DataFrame:
-    """doc_id, size (of the set) and component_id (the smallest id reachable by links) of every document row.
+    """doc_id, key (a hash of the text), size (of the set), component_id (the smallest id reachable by links) and component (a
+    number that all linked rows have in common, null where the set is linked with no other row) of every document row.
 
     percent: two documents link if their sets' overlap is so many hundredths of their union at least; block: rows in a
     block of the product.
@@ -329,5 +324,5 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n
     roots = connected(edges)
     named = rows.join(roots, rows["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("label"), "least")
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    back = named.join(smallest, "label").select("set", "component_id")
-    return every.join(back, "set", "left").select("doc_id", "size", F.coalesce("component_id", "doc_id").alias("component_id"))
+    back = named.join(smallest, "label").select("set", "component_id", F.col("label").alias("component"))
+    return every.join(back, "set", "left").select("doc_id", "key", "size", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
