@@ -29,8 +29,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = saved(substring_dedup.removed_spans(docs), "spans")
-    return substring_dedup.without_spans(docs, found, digest=True).withColumnRenamed("kept", "kept_sha256")
+    return substring_dedup.deduplicate(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

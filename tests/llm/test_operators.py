@@ -230,12 +230,27 @@ def without_repeats(rows):
 
 @pytest.mark.parametrize("hot", [2000, 3])
 def test_substring_dedup(docs, empty, hot):
-    found = substring_dedup.removed_spans(docs, hot=hot)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_spans(docs, found, digest=True).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs, hot=hot, digest=True).collect()}
     assert got == without_repeats(corpus())
-    assert substring_dedup.without_spans(empty, substring_dedup.removed_spans(empty)).count() == 0
-    twice = docs.where("doc_id = 0").unionByName(docs.where("doc_id = 0"))
-    assert substring_dedup.removed_spans(twice).count() == 0
+    assert substring_dedup.deduplicate(empty).count() == 0
+
+
+def test_repeated_and_null_ids_in_substring_dedup(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(4, long), (4, long), (4, "x " + long), (None, long), (None, None), (7, long + " tail"), (9, None)]
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(3))).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == sorted([("4", 40, 0, long), ("4", 40, 0, long), ("4", 41, 0, "x " + long), ("None", 40, 0, long), ("None", 0, 0, ""), ("7", 41, 40, "tail"), ("9", 0, 0, "")])
+
+
+def test_anchors_of_many_texts_are_those_of_each():
+    dice = random.Random(4)
+    texts = [" ".join(dice.choice("abcd") for _ in range(dice.randrange(40))) for _ in range(60)] + [None, ""]
+    owner, at, hashes, span = substring_dedup.anchors_of(pa.array(texts, pa.string()), 13, 6)
+    for i, t in enumerate(texts):
+        alone = substring_dedup.anchors_of(pa.array([t], pa.string()), 13, 6)
+        assert [x[owner == i].tolist() for x in (at, hashes, span)] == [x.tolist() for x in alone[1:]]
+        windows = [s for a, x in zip(at[owner == i], span[owner == i], strict=True) for s in range(a - (x >> 8), a - (x >> 8) + (x & 255))]
+        assert windows == list(range(max(0, len((t or "").split()) - 12)))
 
 
 # --- 4 ---
