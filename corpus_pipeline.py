@@ -1,14 +1,15 @@
 """A corpus from raw documents to token files: each stage takes what its predecessor kept and is written before the next one starts.
 
 1. quality rules: documents that the learned decision list or the base rules reject go;
-2. n-gram Jaccard join: of each group of near copies the document with the smallest id stays;
+2. n-gram Jaccard join: of each group of near copies the row with the smallest id stays;
 3. benchmark decontamination: documents with a window of a benchmark item go;
 4. mixing: documents are repeated or left out so that sources reach their target weights;
 5. token output: ids of the mix in rANS-coded files; the rows say where each document starts.
 
-Null and empty texts are too short for the first stage and go there. Rows with a null id are kept by the second stage, as
-no other row of their group has a smaller id. Repeated rows (equal id and text) count as copies of one document. Extra
-columns are carried along to the last stage. An empty table gives an empty result.
+Null and empty texts are too short for the first stage and go there; the second stage, by itself, keeps them, as they are
+copies of nothing. Rows are documents of their own even if they share an id: a text goes only if it is a near copy of one
+that stays. A null id comes after all others in the choice. Repeated rows (equal id and text) count as copies of one
+document. Texts may have any length. Extra columns are carried along to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +28,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.components(docs)
-    copies = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.select(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if rows["n"] == rows["ids"]:
-        return kept
-    single = kept.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return single.unionByName(kept.where("doc_id is null"))
+    found = saved(jaccard_join.components(docs).where("component is not null").select("doc_id", "key", "component"), "components")
+    # A row is known by its id and a hash of its text, as one id may stand for several texts.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("stays"))
+    others = found.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("stays")), "left_anti").select("doc_id", "key").distinct()
+    mark = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
+    others = others.toDF(f"{mark}id", f"{mark}key")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}key"))
+    kept = docs.withColumn(f"{mark}text", F.xxhash64("text")).join(others, same, "left_anti")
+    twice = found.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key").toDF(f"{mark}id", f"{mark}key")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", f"{mark}text"])
+    return kept.join(twice, same, "left_anti").unionByName(single).select(*docs.columns)
 
 
 def benchmark_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
