@@ -20,7 +20,7 @@ def missing(value: Column | str, nodata: Column | float | None = None, tolerance
     v = _col(value).cast("double")
     bad = F.isnan(v) | (F.abs(v) == float("inf"))
     if nodata is not None:
-        bad = bad | (F.abs(v - nodata) < tolerance)
+        bad = bad | F.coalesce(F.abs(v - nodata) < tolerance, F.lit(False))  # a layer may have no nodata value
     return F.when(~bad | v.isNull(), v)
 
 
@@ -66,9 +66,15 @@ def distance2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
 
 
-def portable_hash(key: Column | str, seed: int) -> Column:
-    """An integer hash that any SQL engine computes alike."""
-    return F.pmod(_col(key).cast("long") * 1103515245 + seed * 12345, F.lit(2147483648))
+def portable_hash(key: Column | str, seed: Column | int) -> Column:
+    """An integer hash that any SQL engine computes alike, of any 64-bit key: it is taken modulo 2^31 before the product."""
+    whole = F.lit(2147483648)
+    return F.pmod(F.pmod(_col(key).cast("long"), whole) * 1103515245 + F.pmod(F.lit(seed).cast("long"), whole) * 12345, whole)
+
+
+def uniform(key: Column | str, seed: int) -> Column:
+    """A number between 0 and 1 from a hash of key and seed, the same wherever and whenever the row is looked at."""
+    return (F.shiftrightunsigned(F.xxhash64(_col(key), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
 def z_score(value: Column | str, mean: Column, sd: Column) -> Column:

@@ -12,6 +12,7 @@ from scarpline.operators.metrics import auc
 from scarpline.operators.models import fit, scores
 from scarpline.operators.sampling import stratified_folds
 from scarpline.operators.spatial import distance_join
+from scarpline.sources.tables import saved
 
 Maker = Callable[[DataFrame], Estimator]
 
@@ -37,15 +38,11 @@ def fold_membership(df: DataFrame, key: str, r: float) -> DataFrame:
 
 def stratified_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, k: int = 5, seed: int = 42, balance: str = "classes") -> DataFrame:
     """fold and auc of k models, each scaled and weighted by its own training rows."""
-    rows = stratified_folds(df, key, k, seed).persist()
-    parts = []
+    rows, found = saved(stratified_folds(df, key, k, seed)), []
     for f in range(k):
         model = fit(rows.where(F.col("fold") != f), features, make, balance)
-        parts.append(auc(scores(model, rows.where(F.col("fold") == f)), "p").withColumn("fold", F.lit(f)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("fold", "auc")
+        found.append((f, auc(scores(model, rows.where(F.col("fold") == f)), "p").first()["auc"]))
+    return df.sparkSession.createDataFrame(found, "fold int, auc double")  # k rows
 
 
 def buffered_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, r: float, folds: Sequence[int] | None = None, max_folds: int = 200, balance: str = "classes") -> DataFrame:
@@ -57,7 +54,7 @@ def buffered_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, r
     names = sorted(r_["fold"] for r_ in df.select("fold").distinct().limit(max_folds + 1).collect()) if folds is None else list(folds)
     if len(names) > max_folds:
         raise ValueError(f"More than {max_folds} folds; deal squares to fewer folds, or raise max_folds")
-    rows = df.join(excluded_folds(df, key, r), key).persist()
+    rows = saved(df.join(excluded_folds(df, key, r), key))
     parts: list[DataFrame] = []
     for f in names:
         train = rows.where(~F.array_contains("excluded", F.lit(f)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scarpline.operators.select import score_ranges
+
 
 def confusion(df: DataFrame, predicted: Column, target: str = "target") -> DataFrame:
     """One row: tn, fp, fn, tp."""
@@ -21,25 +23,12 @@ def class_metrics(df: DataFrame, predicted: Column, target: str = "target") -> D
     return found.select(ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-#: Ranges that distinct scores are cut into before sums over all lower ones are taken.
-SLICES = 1024
-
-
 def _by_score(df: DataFrame, score: str, target: str) -> DataFrame:
-    """score, pos, neg and both summed over all higher scores; no task gets all scores.
-
-    Scores are counted, cut into ranges by approximate quantiles, and summed within ranges; ranges are summed up apart.
-    """
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg"))
-    cuts = counts.agg(F.percentile_approx("score", F.lit([i / SLICES for i in range(1, SLICES)]), 4 * SLICES).alias("_cuts"))
-    sliced = counts.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
-    above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sliced.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    order = above(Window.partitionBy(F.lit(0)).orderBy(F.desc("_slice")))
-    sums = sums.select("_slice", F.coalesce(F.sum("_p").over(order), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_n"))
-    inner = above(Window.partitionBy("_slice").orderBy(F.desc("score")))
-    rows = sliced.withColumns({"_ip": F.coalesce(F.sum("pos").over(inner), F.lit(0)), "_in": F.coalesce(F.sum("neg").over(inner), F.lit(0))})
-    return rows.join(F.broadcast(sums), "_slice").select("score", "pos", "neg", (F.col("_p") + F.col("_ip")).alias("pos_above"), (F.col("_n") + F.col("_in")).alias("neg_above"))
+    """score, pos, neg and both summed over all higher scores; no task gets all scores."""
+    rows = score_ranges(df, score, pos=F.count_if(F.col(target) == 1), neg=F.count_if(F.col(target) == 0))
+    totals = rows.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above = lambda n, all_: (F.col(all_) - F.col(f"{n}_below") - F.col(n)).alias(f"{n}_above")
+    return rows.crossJoin(F.broadcast(totals)).select("score", "pos", "neg", above("pos", "_p"), above("neg", "_n"))
 
 
 def auc(df: DataFrame, score: str, target: str = "target") -> DataFrame:

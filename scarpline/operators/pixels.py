@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.functions.scalars import centre_of, missing, on_lattice, pixel_of
@@ -12,9 +12,9 @@ from scarpline.operators.fr import fr_lookup
 
 
 def valid_pixels(pixels: DataFrame, meta: DataFrame, layer: str, stride: int) -> DataFrame:
-    """row, col, x, y of a layer's pixels on the lattice whose value is above 0, finite and not nodata. Filters reach the scan."""
+    """row, col, x, y of a layer's pixels on the lattice whose value is above 0, finite and not nodata (null: the layer has none). Filters reach the scan."""
     rows = pixels.where((F.col("layer") == layer) & (F.col("value") > 0) & on_lattice(F.col("row"), F.col("col"), stride))
-    rows = rows.join(F.broadcast(meta), "layer").where((F.col("value") != F.col("nodata")) & missing("value").isNotNull())
+    rows = rows.join(F.broadcast(meta), "layer").where((F.col("nodata").isNull() | (F.col("value") != F.col("nodata"))) & missing("value").isNotNull())
     x, y = centre_of(*(F.col(c) for c in ("row", "col", "x0", "y0", "px", "py")))
     return rows.select("row", "col", x.alias("x"), y.alias("y"))
 
@@ -39,10 +39,12 @@ def sample_stack(points: DataFrame, key: str, pixels: DataFrame, meta: DataFrame
     return points.select(key, "x", "y").join(wide, key).select(key, "x", "y", *features)
 
 
-def grid_rows(pixels: DataFrame, registry: DataFrame, fr: DataFrame, features: Sequence[str], meta: DataFrame, stride: int) -> DataFrame:
-    """x, y and the features of every lattice pixel, for layers on one grid: an aggregate by pixel, without a join of points."""
-    active = registry.where(F.col("column").isin(*features))
-    rows = pixels.where(on_lattice(F.col("row"), F.col("col"), stride) & (F.col("value") > 0)).join(F.broadcast(active), "layer").join(F.broadcast(meta), "layer")
-    rows = fr_lookup(rows.withColumn("value", missing("value", F.col("nodata"))), fr)
-    x, y = centre_of(*(F.col(c) for c in ("row", "col", "x0", "y0", "px", "py")))
-    return rows.withColumns({"x": x, "y": y}).groupBy("row", "col", "x", "y").pivot("column", list(features)).agg(F.first("FR")).drop("row", "col")
+def pixel_key() -> Column:
+    """One number for row and col, different for all pixels of a layer."""
+    return F.shiftleft(F.col("row").cast("long"), 32) + F.col("col")
+
+
+def grid_rows(pixels: DataFrame, registry: DataFrame, fr: DataFrame, features: Sequence[str], meta: DataFrame, stride: int, pool_layer: str) -> DataFrame:
+    """x, y and the features at the centres of the pool layer's valid lattice pixels; every layer is sampled by its own transform."""
+    centres = valid_pixels(pixels, meta, pool_layer, stride).select(pixel_key().alias("pixel"), "x", "y")
+    return sample_stack(centres, "pixel", pixels, meta, registry, fr, features).drop("pixel")

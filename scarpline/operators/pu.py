@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from scarpline.operators.models import fit, scores
 from scarpline.operators.sampling import bag_draws
+from scarpline.operators.scaling import scaled
 from scarpline.operators.select import bottom_fraction
+from scarpline.sources.tables import saved
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,14 @@ def bagged(df: DataFrame, key: str, features: Sequence[str], make: Callable[[Dat
 
 
 def refine(df: DataFrame, key: str, features: Sequence[str], make: Callable[[DataFrame], Estimator], keep_fraction: float = 0.5, **options) -> DataFrame:
-    """All positives, and of the unlabeled rows the fraction that looks least like them."""
-    scored = bagged(df, key, features, make, **options).scores(df.where("target = 0"))
-    kept = bottom_fraction(scored, "p", key, keep_fraction)
-    return df.where("target = 1").unionByName(kept.select(*df.columns))
+    """All positives, and of the unlabeled rows the fraction that looks least like them. A table without unlabeled rows stays as it is.
+
+    Bags are drawn from features in standard scores over all rows.
+    """
+    free = df.where("target = 0")
+    if free.isEmpty():
+        return df
+    whole = saved(scaled(df, features))
+    scored = bagged(whole, key, features, make, **options).scores(whole.where("target = 0"))
+    kept = bottom_fraction(saved(scored.select(key, "p")), "p", key, keep_fraction).select(key)
+    return df.where("target = 1").unionByName(free.join(kept, key, "left_semi").select(*df.columns))

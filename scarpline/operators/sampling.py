@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.functions.scalars import portable_hash
+from scarpline.functions.scalars import portable_hash, uniform
 from scarpline.operators.select import numbered, one_row, threshold_select
 from scarpline.operators.spatial import away_from
 
@@ -25,13 +25,16 @@ def pseudo_absences(candidates: DataFrame, points: DataFrame, key: str, n: int,
 
 
 def random_absences(points: DataFrame, features: Sequence[str], n: int, x: tuple[float, float], y: tuple[float, float], buffer: float, seed: int = 42, feature_range: tuple[float, float] = (0.0, 1.5), tries: int = 200) -> DataFrame:
-    """Up to n random rows of target 0 in a box, at least ``buffer`` from all points, features uniform; at most ``tries`` times n are drawn."""
+    """Up to n random rows of target 0 in a box, at least ``buffer`` from all points, features uniform; at most ``tries`` times n are drawn.
+
+    All numbers come from hashes of the draw's number and the seed, so every look at the rows sees the same ones.
+    """
     spark, drawn = points.sparkSession, 0
     found, have, batch = None, 0, max(4 * n, 1)
     while have < n and drawn < tries * n:
         batch = min(batch, tries * n - drawn)
-        uniform = lambda low, high, k: F.rand(seed + 1000 * drawn + k) * (high - low) + low  # noqa: B023, E731
-        rows = spark.range(drawn, drawn + batch).select("id", uniform(*x, 1).alias("x"), uniform(*y, 2).alias("y"), *(uniform(*feature_range, 3 + i).alias(c) for i, c in enumerate(features)), F.lit(0).alias("target"))
+        within = lambda low, high, k: uniform("id", 1000 * seed + k) * (high - low) + low
+        rows = spark.range(drawn, drawn + batch).select("id", within(*x, 1).alias("x"), within(*y, 2).alias("y"), *(within(*feature_range, 3 + i).alias(c) for i, c in enumerate(features)), F.lit(0).alias("target"))
         more = away_from(rows, points, buffer)
         found = more if found is None else found.unionByName(more)
         drawn, batch = drawn + batch, batch * 4
@@ -59,8 +62,7 @@ def bag_draws(df: DataFrame, key: str, bags: int, seed: int, ratio: float = 1.0)
     wanted = df.agg(F.least(F.greatest(F.bround(F.count_if(F.col("target") == 1) * F.lit(float(ratio)), 0).cast("long"), F.lit(1)), F.count_if(F.col("target") == 0)).alias("k"))
     numbers = spark.range(bags).select(F.col("id").cast("int").alias("bag"))
     spread = free.crossJoin(F.broadcast(numbers))
-    hashed = F.pmod(F.col(key).cast("long") * 1103515245 + (F.lit(seed) + F.col("bag") + 1) * 12345, F.lit(2147483648))
-    return threshold_select(spread, numbers.crossJoin(wanted), hashed, [key], ["bag"]).select("bag", key)
+    return threshold_select(spread, numbers.crossJoin(wanted), portable_hash(key, F.col("bag") + (seed + 1)), [key], ["bag"]).select("bag", key)
 
 
 def stratified_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

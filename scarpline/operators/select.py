@@ -1,7 +1,8 @@
-"""Exact selection of the k lowest rows, globally or by group, without sorting all rows in one task.
+"""Exact selection of the k lowest rows, globally or by group, and exact quantiles, without sorting all rows in one task.
 
-Rows are counted by coarse buckets of the leading column; buckets below the one where the count crosses k are taken by a
-filter, and only the rows of that bucket are ranked. The bucket table has at most BUCKETS rows for each group.
+Rows are counted by buckets of the leading column, whose edges are approximate quantiles, so that outliers crowd no bucket;
+buckets below the one where the count crosses k are taken by a filter, and only the rows of that bucket are ranked. The
+bucket table has at most BUCKETS rows for each group.
 """
 
 from __future__ import annotations
@@ -11,15 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+ROOT = 32
+BUCKETS = ROOT * ROOT
 #: One more than the largest portable hash.
 HASH_RANGE = 2147483648
 
 
-def bucket_of(value: Column, low: Column, high: Column) -> Column:
-    """The bucket of a value between low and high; all equal values share one."""
-    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def bucket_edges(value: Column) -> Column:
+    """An aggregate: the approximate quantiles that part BUCKETS buckets."""
+    return F.percentile_approx(value, F.lit([i / BUCKETS for i in range(1, BUCKETS)]), 4 * BUCKETS)
+
+
+def bucket_of(value: Column, edges: Column) -> Column:
+    """How many edges are below the value; equal values share a bucket. Looks at every ROOT-th edge, then at those between two."""
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(ROOT - 1)), lambda i: F.get(edges, i * ROOT - 1)), lambda e: e < value))
+    return F.when(value.isNotNull() & edges.isNotNull(), coarse * ROOT + F.size(F.filter(F.slice(edges, coarse * ROOT + 1, F.lit(ROOT - 1)), lambda e: e < value)))
 
 
 def threshold_select(df: DataFrame, k: DataFrame, lead: Column, ties: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -29,10 +36,10 @@ def threshold_select(df: DataFrame, k: DataFrame, lead: Column, ties: Sequence[s
     leading value come last. With less than k rows, all are taken.
     """
     rows = df.withColumn("_lead", lead.cast("double"))
-    ends = rows.groupBy(*by).agg(F.min("_lead").alias("_low"), F.max("_lead").alias("_high"))
+    ends = rows.groupBy(*by).agg(bucket_edges(F.col("_lead")).alias("_edges"))
     ends = (ends.join(k, list(by)) if by else ends.crossJoin(k)).withColumnRenamed("k", "_k")
     bucketed = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))
-    bucketed = bucketed.withColumn("_bucket", F.coalesce(bucket_of(F.col("_lead"), F.col("_low"), F.col("_high")), F.lit(BUCKETS)))
+    bucketed = bucketed.withColumn("_bucket", F.coalesce(bucket_of(F.col("_lead"), F.col("_edges")), F.lit(BUCKETS))).drop("_edges")
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.first("_k").alias("_k"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before < _k")
@@ -65,3 +72,37 @@ def kept_count(n: Column, fraction: float) -> Column:
 def bottom_fraction(df: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
     """The rows of the lowest scores, as many as the fraction keeps."""
     return threshold_select(df, one_row(df, kept_count(F.count("*"), fraction)), F.col(score), [key])
+
+
+def score_ranges(df: DataFrame, score: str, **sums: Column) -> DataFrame:
+    """score, the given aggregates for each distinct score, and each of them summed over all lower scores as ``<name>_below``.
+
+    Distinct scores are cut into ranges by approximate quantiles and summed up within ranges; ranges are summed up apart.
+    """
+    counts = df.groupBy(F.col(score).alias("score")).agg(*(c.alias(n) for n, c in sums.items()))
+    ranged = counts.crossJoin(F.broadcast(counts.agg(bucket_edges(F.col("score")).alias("_edges")))).withColumn("_range", bucket_of(F.col("score"), F.col("_edges"))).drop("_edges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    order, inner = before(Window.partitionBy(F.lit(0)).orderBy("_range")), before(Window.partitionBy("_range").orderBy("score"))
+    summed = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    whole = ranged.groupBy("_range").agg(*(F.sum(n).alias(n) for n in sums)).select("_range", *(summed(n, order).alias(f"_{n}") for n in sums))  # BUCKETS rows at most
+    rows = ranged.select("*", *(summed(n, inner).alias(f"_in_{n}") for n in sums)).join(F.broadcast(whole), "_range")
+    return rows.select("score", *sums, *((F.col(f"_{n}") + F.col(f"_in_{n}")).alias(f"{n}_below") for n in sums))
+
+
+def exact_quantiles(df: DataFrame, score: str, at: Sequence[float]) -> DataFrame:
+    """One row, ``quantiles``: exact ones with linear interpolation, null without scores. Only the rows around them are gathered."""
+    counted = score_ranges(df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias(score)), score, n=F.count("*"))
+    total = counted.agg(F.sum("n").alias("_total"))
+    places = [(F.col("_total") - 1) * F.lit(float(q)) for q in at]
+    ranks = F.array(*(f(p).cast("long") for p in places for f in (F.floor, F.ceil)))
+    near = counted.crossJoin(F.broadcast(total)).where(F.exists(ranks, lambda r: (r >= F.col("n_below")) & (r < F.col("n_below") + F.col("n"))))
+    row = near.agg(F.collect_list(F.struct("n_below", "n", "score")).alias("s"), F.first("_total").alias("_total"))  # two for each quantile at most
+
+    def value(rank: Column) -> Column:
+        return F.filter("s", lambda x: (rank >= x["n_below"]) & (rank < x["n_below"] + x["n"]))[0]["score"]
+
+    def between(place: Column) -> Column:
+        low, high, part = value(F.floor(place).cast("long")), value(F.ceil(place).cast("long")), place - F.floor(place)
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    return row.select(F.when(F.size("s") > 0, F.array(*(between(p) for p in places))).alias("quantiles"))

@@ -4,10 +4,13 @@ the exact distance is tested after that. A crowded cell is a skewed join key, wh
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.functions.scalars import distance2
+from scarpline.sources.tables import saved
 
 
 def _cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
@@ -59,27 +62,35 @@ def buffer_control(df: DataFrame, inner: float = 500.0, outer: float | None = No
     return positive.unionByName(kept)
 
 
-def min_distance(query: DataFrame, reference: DataFrame, key: str, *, broadcast_rows: int = 100_000, first_radius: float = 1000.0) -> DataFrame:
-    """The query rows with ``distance`` to the nearest reference point; infinite if there is none.
+def min_distance(query: DataFrame, reference: DataFrame, key: str, *, first_radius: float | None = None) -> DataFrame:
+    """The query rows with ``distance`` to the nearest reference point: infinite if there is none, null for rows without both coordinates.
 
-    Few reference points (they are counted) are broadcast. Beyond that, rows look in a grid that doubles its cells until each
-    has found a neighbour within the cell size, which is then the nearest.
+    Rows look in a grid whose cells double until each has found a neighbour within the cell size, which is then the nearest.
+    The first size, if not given, is such that a cell holds about one reference point on average; no more passes are made
+    than it takes to cover the box of all points.
     """
-    ref = reference.select("x", "y")
-    n = ref.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        d2 = distance2(F.col("q.x"), F.col("q.y"), F.col("p.x"), F.col("p.y"))
-        paired = query.select(key, "x", "y").alias("q").join(F.broadcast(ref.alias("p")), F.lit(True), "left")
-        nearest = paired.groupBy(F.col(f"q.{key}").alias(key), F.col("q.x").alias("x"), F.col("q.y").alias("y")).agg(F.min(d2).alias("_d2"))
-        return nearest.select(key, "x", "y", F.coalesce(F.sqrt("_d2"), F.lit(float("inf"))).alias("distance"))
-    open_, done, r = query.select(key, "x", "y"), None, first_radius
-    while not open_.isEmpty():
-        pairs = distance_join(open_, ref, r)
-        found = pairs.groupBy(key, "x", "y").agg(F.sqrt(F.min(distance2(F.col("x"), F.col("y"), F.col("right_x"), F.col("right_y")))).alias("distance"))
-        found = found.persist()
-        done = found if done is None else done.unionByName(found)
-        open_, r = open_.join(found.select(key), key, "left_anti").persist(), r * 2
-    return done if done is not None else query.select(key, "x", "y").withColumn("distance", F.lit(float("inf")))
+    columns = ["x", "y"]
+    ref = reference.select(*columns).dropna()
+    box = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))]
+    q, r = query.select(key, *columns).dropna(subset=columns).agg(*box).first(), ref.agg(F.count("*").alias("n"), *box).first()
+    placed, unplaced = query.select(key, *columns).dropna(subset=columns), query.where("x is null or y is null").select(key, *columns)
+    nowhere = unplaced.withColumn("distance", F.lit(None).cast("double"))
+    if not r["n"] or q["low_x"] is None:
+        return placed.withColumn("distance", F.lit(float("inf"))).unionByName(nowhere)
+    wide = math.hypot(*(max(q[f"high_{c}"], r[f"high_{c}"]) - min(q[f"low_{c}"], r[f"low_{c}"]) for c in columns))
+    area = max(r["high_x"] - r["low_x"], 1e-9) * max(r["high_y"] - r["low_y"], 1e-9)
+    radius = first_radius or max(math.sqrt(area / r["n"]), wide / 1e6, 1e-9)
+    squared = F.min(distance2(F.col("x"), F.col("y"), F.col("right_x"), F.col("right_y")))
+    open_, done = placed, nowhere
+    while True:
+        found = saved(distance_join(open_, ref, radius).groupBy(key, *columns).agg(F.sqrt(squared).alias("distance")))
+        done = done.unionByName(found)
+        if radius > wide:  # all have met all by now
+            return done
+        open_ = saved(open_.join(found.select(key), key, "left_anti"))
+        if open_.isEmpty():
+            return done
+        radius *= 2
 
 
 def neighbours(df: DataFrame, key: str, r: float) -> DataFrame:

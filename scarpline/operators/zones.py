@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scarpline.operators.select import exact_quantiles
 from scarpline.sources.tables import ZONES
 
 
-def quantile_edges(df: DataFrame, score: str, q: int = 5, accuracy: int | None = None) -> DataFrame:
-    """One row, ``edges``: the distinct quantiles at 0, 1/q .. 1. Exact; with ``accuracy`` approximate, for very many distinct scores."""
-    at = [i / q for i in range(q + 1)]
-    value = F.col(score)
-    found = F.percentile(value, F.lit(at)) if accuracy is None else F.percentile_approx(value, F.lit(at), accuracy)
-    return df.agg(F.array_distinct(found).alias("edges"))
+def quantile_edges(df: DataFrame, score: str, q: int = 5) -> DataFrame:
+    """One row, ``edges``: the distinct quantiles at 0, 1/q .. 1, exact; no task gets all scores."""
+    return exact_quantiles(df, score, [i / q for i in range(q + 1)]).select(F.array_distinct(F.coalesce("quantiles", F.array().cast("array<double>"))).alias("edges"))
 
 
 def zone_of(score: Column, edges: Column) -> Column:
@@ -27,9 +25,9 @@ def zone_label(zone: Column, labels: Sequence[str] = ZONES) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in labels)), zone + 1)
 
 
-def zoned(df: DataFrame, score: str, q: int = 5, labels: Sequence[str] = ZONES, edges: DataFrame | None = None, accuracy: int | None = None) -> DataFrame:
+def zoned(df: DataFrame, score: str, q: int = 5, labels: Sequence[str] = ZONES, edges: DataFrame | None = None) -> DataFrame:
     """Rows with zone_id and zone_label. edges: a one-row table from an earlier batch, for streams."""
-    edges = quantile_edges(df, score, q, accuracy) if edges is None else edges
+    edges = quantile_edges(df, score, q) if edges is None else edges
     marked = df.crossJoin(F.broadcast(edges)).withColumn("zone_id", zone_of(F.col(score), F.col("edges")))
     return marked.withColumn("zone_label", zone_label(F.col("zone_id"), labels)).drop("edges")
 

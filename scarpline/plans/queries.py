@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scarpline.functions.scalars import reclass_edges, utm, z_score
 from scarpline.operators import cv, fr, metrics, models, pixels, pu, sampling, scaling, selection, spatial, zones
-from scarpline.operators.select import bottom_fraction
+from scarpline.operators.select import bottom_fraction, exact_quantiles
 from scarpline.plans import jobs, views
 from scarpline.plans.views import CLASSES, candidate, labelled, layer_meta, pixel, presence, px, scored
 from scarpline.sources import tables
@@ -40,7 +40,7 @@ def fr_split_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def quantile_reclass(spark: SparkSession, d: str) -> DataFrame:
     rows = px(spark, d).select(F.col("l_extendedprice").cast("double").alias("v"))
-    edges = rows.agg(F.percentile("v", F.lit([0.2, 0.4, 0.6, 0.8])).alias("e"))
+    edges = exact_quantiles(rows, "v", [0.2, 0.4, 0.6, 0.8]).withColumnRenamed("quantiles", "e")
     return rows.crossJoin(F.broadcast(edges)).groupBy(reclass_edges("v", F.col("e")).alias("class")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
@@ -51,7 +51,7 @@ def fr_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return fr.index_map(px(spark, d), _weights(spark, d), CLASSES)
+    return fr.index_map(px(spark, d), tables.saved(_weights(spark, d)), CLASSES)
 
 
 def lsi_index(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def lsi_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
-    return zones.zoned(_index(spark, d).withColumn("lsi", F.round("lsi", 9)), "lsi")
+    return zones.zoned(tables.saved(_index(spark, d).select("hit", F.round("lsi", 9).alias("lsi"))), "lsi")
 
 
 def lsi_zones(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,8 @@ def missing_factors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid_pixel_pool(spark: SparkSession, d: str) -> DataFrame:
-    return pixels.valid_pixels(pixel(spark, d), layer_meta(spark, d), "size", 2)
+    found = [pixels.valid_pixels(pixel(spark, d), layer_meta(spark, d), layer, 2).withColumn("layer", F.lit(layer)) for layer in ("size", "brand")]
+    return found[0].unionByName(found[1])
 
 
 def sample_layers(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +130,7 @@ def sample_stack(spark: SparkSession, d: str) -> DataFrame:
 def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
     registry = spark.createDataFrame([("qty_fr", "qty", "size"), ("tax_fr", "tax", "brand")], REGISTRY)
     study = tables.Study(features=("qty_fr", "tax_fr"), grid_stride=2)
-    grid = jobs.prediction_grid(pixel(spark, d), layer_meta(spark, d), registry, _weights(spark, d), study)
+    grid = jobs.prediction_grid(pixel(spark, d), layer_meta(spark, d), registry, tables.saved(_weights(spark, d)), study, "size")
     return grid.select("x", "y", F.round("qty_fr", 9).alias("qty_fr"), F.round("tax_fr", 9).alias("tax_fr"))
 
 
@@ -137,10 +138,11 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
     """Presences on the pixel grid, as many pseudo-absences 700 m away from them."""
     registry = spark.createDataFrame([("qty_fr", "qty", "size")], REGISTRY)
     study = tables.Study(features=("qty_fr",), buffer=700.0, pool_stride=1)
-    weights = _weights(spark, d)
+    weights = tables.saved(_weights(spark, d))
     stacked = pixels.sample_stack(presence(spark, d), "id", pixel(spark, d), layer_meta(spark, d), registry, weights, ["qty_fr"])
-    points = stacked.where("qty_fr is not null").select(F.col("id").alias("point_id"), "x", "y")
-    return jobs.training_table(points, pixel(spark, d), layer_meta(spark, d), registry, weights, study, "size")
+    points = tables.saved(stacked.where("qty_fr is not null").select(F.col("id").alias("point_id"), "x", "y"))
+    found = jobs.training_table(points, pixel(spark, d), layer_meta(spark, d), registry, weights, study, "size")
+    return found.select("x", "y", F.round("qty_fr", 9).alias("qty_fr"), "target")
 
 
 def min_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +294,25 @@ def score_grid(spark: SparkSession, d: str) -> DataFrame:
     return jobs.scored_grid(rows, models.train(rows, FEATURES, "rf", trees=10, depth=4)).select("x", "y", "zone_id", "zone_label", "lsi_prob")
 
 
+def presence_only(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job on presences alone: random negatives, refinement, choice of features, three models, both kinds of folds, zones of a grid."""
+    rows = presence(spark, d).select("id", "x", "y", (F.col("id") % 7 / 7).alias("f1"), (F.col("id") % 11 / 10).alias("f2"), (F.col("id") % 3 / 3).alias("f3"), F.lit(1).alias("target"))
+    grid = candidate(spark, d).select("x", "y", (F.col("id") % 13 / 10).alias("f1"), (F.col("id") % 17 / 12).alias("f2"), (F.col("id") % 5 / 4).alias("f3"))
+    study = tables.Study(features=tuple(FEATURES), folds=2, bags=2, buffer=300.0)
+    options = {"rf": {"trees": 10, "depth": 4}, "lr": {"rounds": 20}, "gbt": {"rounds": 4, "depth": 3}}
+    found = jobs.susceptibility(rows, "id", study, method="cart", refine=True, block=8000.0, grid=grid, options=options)
+    shares = found["distribution"].select(F.lit("run").alias("run_id"), F.lit("rf").alias("model"), F.lit("zones").alias("scheme"), "zone_id", F.col("zone_label").alias("metric"), F.col("percent").alias("value"))
+    return found["metrics"].unionByName(shares.withColumnRenamed("zone_id", "fold"))
+
+
+def presence_only_rows(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each class the job's steps before the models leave: random negatives, then the share that refinement keeps."""
+    rows = presence(spark, d).select("id", "x", "y", (F.col("id") % 7 / 7).alias("f1"), F.lit(1).alias("target"))
+    built = tables.saved(sampling.with_absences(rows, ["f1"], x=(500_000.0, 560_000.0), y=(2_560_000.0, 2_630_000.0), buffer=300.0)).withColumn("id", F.xxhash64("x", "y", "target"))
+    kept = pu.refine(built, "id", ["f1"], models.factory("rf", trees=5, depth=3), 0.75, bags=2)
+    return kept.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def ml_pipeline(spark: SparkSession, d: str) -> DataFrame:
     study = tables.Study(features=tuple(FEATURES), folds=2, fold_radius=300.0)
     return jobs.susceptibility(labelled(spark, d), "id", study, names=("lr",), block=8000.0, options={"lr": {"rounds": 20}})["metrics"]
@@ -303,7 +324,7 @@ NATIVE: tuple[Query, ...] = (
     fold_census, buffered_fold_membership, stratified_folds, class_weights, positive_weight, zscore_stats, zscores, pearson_matrix, correlated_features, bag_draws, confusion, class_metrics, auc_exact, roc_points,
     bottom_k, utm_projection, zscore_grid, random_absences,
 )
-MODELS: tuple[Query, ...] = (_trained("rf"), _trained("lr"), _trained("gbt"), cart_ranking, kfold_cv, buffered_cv, pu_refine, ga_select, score_grid, ml_pipeline)
+MODELS: tuple[Query, ...] = (_trained("rf"), _trained("lr"), _trained("gbt"), cart_ranking, kfold_cv, buffered_cv, pu_refine, ga_select, score_grid, ml_pipeline, presence_only, presence_only_rows)
 
 
 def queries() -> dict[str, Query]:
@@ -346,10 +367,17 @@ _SQL: dict[str, tuple[str, str, str]] = {
     "complete_rows": ("labelled", "", "SELECT x, y, f1, f2, f3, target FROM labelled WHERE f1>0"),
     "missing_layers": ("pixel", "", "SELECT layer, \"column\" FROM (VALUES ('a','size'),('b','brand'),('c','slope')) t(\"column\",layer) WHERE layer NOT IN (SELECT layer FROM pixel)"),
     "missing_factors": ("px", _FR, "SELECT factor, \"column\" FROM (VALUES ('a','qty'),('b','geology')) t(\"column\",factor) WHERE factor NOT IN (SELECT factor FROM fr)"),
-    "valid_pixel_pool": ("pixel layer_meta", "", "SELECT p.\"row\", p.col, CAST(m.x0+(p.col+0.5)*m.px AS DOUBLE) AS x, CAST(m.y0-(p.\"row\"+0.5)*m.py AS DOUBLE) AS y FROM pixel p JOIN layer_meta m USING (layer) WHERE layer='size' AND value>0 AND value<>m.nodata AND p.\"row\"%2=0 AND p.col%2=0"),
+    "valid_pixel_pool": ("pixel layer_meta", "", "SELECT layer, p.\"row\", p.col, CAST(m.x0+(p.col+0.5)*m.px AS DOUBLE) AS x, CAST(m.y0-(p.\"row\"+0.5)*m.py AS DOUBLE) AS y FROM pixel p JOIN layer_meta m USING (layer) WHERE value>0 AND (m.nodata IS NULL OR value<>m.nodata) AND p.\"row\"%2=0 AND p.col%2=0"),
     "sample_layers": ("px labelled pixel layer_meta", _STACK, "SELECT id, max(v) FILTER (layer='size') AS size, max(v) FILTER (layer='brand') AS brand FROM smp GROUP BY id"),
     "sample_stack": ("px labelled pixel layer_meta", _STACK, "SELECT s.id, s.x, s.y, round(a.FR,9) AS qty_fr, round(b.FR,9) AS tax_fr FROM smp s JOIN fr a ON s.layer='size' AND a.factor='qty' AND a.class=CAST(s.v AS INT) JOIN smp t ON t.id=s.id AND t.layer='brand' JOIN fr b ON b.factor='tax' AND b.class=CAST(t.v AS INT)"),
-    "prediction_grid": ("px pixel layer_meta", _FR, "SELECT CAST(m.x0+(p.col+0.5)*m.px AS DOUBLE) AS x, CAST(m.y0-(p.\"row\"+0.5)*m.py AS DOUBLE) AS y, round(a.FR,9) AS qty_fr, round(b.FR,9) AS tax_fr FROM pixel p JOIN layer_meta m USING (layer) JOIN pixel q ON q.layer='brand' AND q.\"row\"=p.\"row\" AND q.col=p.col JOIN fr a ON a.factor='qty' AND a.class=CAST(p.value AS INT) JOIN fr b ON b.factor='tax' AND b.class=CAST(q.value AS INT) WHERE p.layer='size' AND p.value<>3 AND p.\"row\"%2=0 AND p.col%2=0"),
+    "prediction_grid": ("px pixel layer_meta", _FR + """, g AS (SELECT m.x0+(p.col+0.5)*m.px AS x, m.y0-(p."row"+0.5)*m.py AS y, p.value FROM pixel p JOIN layer_meta m USING (layer) WHERE layer='size' AND p.value>0 AND p.value<>m.nodata AND p."row"%2=0 AND p.col%2=0)""",
+        "SELECT CAST(g.x AS DOUBLE) AS x, CAST(g.y AS DOUBLE) AS y, round(a.FR,9) AS qty_fr, round(b.FR,9) AS tax_fr FROM g JOIN layer_meta m ON m.layer='brand' JOIN pixel q ON q.layer='brand' AND q.\"row\"=CAST(floor((m.y0-g.y)/m.py) AS INT) AND q.col=CAST(floor((g.x-m.x0)/m.px) AS INT) JOIN fr a ON a.factor='qty' AND a.class=CAST(g.value AS INT) JOIN fr b ON b.factor='tax' AND b.class=CAST(q.value AS INT)"),
+    "training_table": ("px presence pixel layer_meta", _FR + f""", w AS (SELECT * FROM pixel p JOIN layer_meta m USING (layer) JOIN fr ON fr.factor='qty' AND fr.class=CAST(p.value AS INT) WHERE layer='size' AND value>0 AND value<>m.nodata),
+      b AS (SELECT s.x, s.y, w.FR FROM presence s JOIN w ON w."row"=CAST(floor((w.y0-s.y)/w.py) AS INT) AND w.col=CAST(floor((s.x-w.x0)/w.px) AS INT)),
+      a AS (SELECT w.x0+(w.col+0.5)*w.px AS x, w.y0-(w."row"+0.5)*w.py AS y, w."row", w.col, w.FR FROM w),
+      f AS (SELECT a.*, row_number() OVER (ORDER BY ((CAST(a."row" AS BIGINT)*100003+a.col)*1103515245+42*12345)%2147483648, a."row", a.col) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_D2} < 490000))""",
+        "SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(FR,9) AS qty_fr, 1 AS target FROM b UNION ALL SELECT CAST(x AS DOUBLE), CAST(y AS DOUBLE), round(FR,9), 0 FROM f WHERE n <= (SELECT count(*) FROM b)"),
+    "presence_only_rows": ("presence", ", c AS (SELECT count(*) AS n FROM presence)", "SELECT 1 AS target, n, n AS ids FROM c UNION ALL SELECT 0, CAST(greatest(round_even(0.75*n,0),1) AS BIGINT), CAST(greatest(round_even(0.75*n,0),1) AS BIGINT) FROM c"),
     "min_distance": ("candidate presence", "", f"SELECT a.id, round(sqrt(min({_D2})),6) AS distance FROM candidate a, presence b GROUP BY a.id"),
     "buffer_anti": ("candidate presence", "", f"SELECT a.* FROM candidate a WHERE NOT EXISTS (SELECT 1 FROM presence b WHERE {_D2} < 250000)"),
     "buffer_ring": ("candidate presence", "", f"SELECT a.* FROM candidate a WHERE NOT EXISTS (SELECT 1 FROM presence b WHERE {_D2} < 250000) AND EXISTS (SELECT 1 FROM presence b WHERE {_D2} <= 4000000)"),

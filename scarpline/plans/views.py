@@ -50,7 +50,8 @@ def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("size", 520000.0, 2600000.0, 500.0, 500.0, 3.0), ("brand", 520000.0, 2600000.0, 500.0, 500.0, -9999.0)]
+    """Two pixel sizes; the second layer has no nodata value."""
+    rows = [("size", 520000.0, 2600000.0, 500.0, 500.0, 3.0), ("brand", 520000.0, 2600000.0, 1000.0, 1000.0, None)]
     return spark.createDataFrame(rows, "layer string, x0 double, y0 double, px double, py double, nodata double")
 
 
@@ -69,6 +70,6 @@ SQL = {
       CAST(c_acctbal AS DOUBLE) AS f1, CAST(c_nationkey AS DOUBLE) AS f2, CAST(1.0 AS DOUBLE) AS f3, CAST(c_mktsegment='BUILDING' AS INT) AS target FROM customer""",
     "pixel": """SELECT 'size' AS layer, CAST(floor(p_partkey/50) AS INT) AS "row", CAST(p_partkey%50 AS INT) AS col, CAST(1+p_size%5 AS DOUBLE) AS value FROM part
       UNION ALL SELECT 'brand', CAST(floor(p_partkey/50) AS INT), CAST(p_partkey%50 AS INT), CAST(1+length(p_name)%4 AS DOUBLE) FROM part WHERE p_partkey%7<>0""",
-    "layer_meta": "SELECT * FROM (VALUES ('size',520000.0,2600000.0,500.0,500.0,3.0),('brand',520000.0,2600000.0,500.0,500.0,-9999.0)) t(layer,x0,y0,px,py,nodata)",
+    "layer_meta": "SELECT * FROM (VALUES ('size',520000.0,2600000.0,500.0,500.0,3.0),('brand',520000.0,2600000.0,1000.0,1000.0,NULL)) t(layer,x0,y0,px,py,nodata)",
     "scored": "SELECT o_orderkey AS id, CAST(round(o_totalprice/10000) AS DOUBLE) AS score, CAST(o_orderstatus='F' AS INT) AS target FROM orders",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -162,3 +164,20 @@ def write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write a data set, grid, score or metrics table, as CSV or Parquet by the path's end."""
     out = df.write.mode("overwrite").partitionBy(*partition_by)
     out.option("header", True).csv(path) if path.endswith(".csv") else out.parquet(path)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared folder of ``spark.checkpoint.dir`` and read them back: cuts lineage, survives lost executors.
+
+    A local session without such a folder (tests) gets a temporary one; a cluster without it is refused.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
