@@ -187,8 +187,8 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def difference(page: tuple[list[str], list[int]], neighbour: list[str] | None) -> str:
-    """The page's main text, given its lines and those of its neighbour."""
+def difference(page: tuple[list[str], list[int]], neighbour: list[str] | None) -> tuple[str, int, int]:
+    """The page's main text, given its lines and those of its neighbour; how many lines went as shared, and how many others."""
     text, kinds = page
     template: set[int] = set()
     if neighbour:
@@ -196,12 +196,13 @@ def difference(page: tuple[list[str], list[int]], neighbour: list[str] | None) -
         a, b = ([number.setdefault(x, len(number)) for x in y] for y in (text, neighbour))
         common = shared(a, b)
         if len(common) < min(len(a), len(b)):
-            template = set(common)
+            template = {i for i in common if kinds[i] != 2}
     own = sum(len(x) for x, k in zip(text, kinds, strict=True) if k == 2)
     rest = {i for i, k in enumerate(kinds) if k == 1 and i not in template}
     if own and own >= sum(len(text[i]) for i in rest):
         rest = set()
-    return "\n".join(x for i, (x, k) in enumerate(zip(text, kinds, strict=True)) if k == 2 or i in rest)
+    kept = [x for i, (x, k) in enumerate(zip(text, kinds, strict=True)) if k == 2 or i in rest]
+    return "\n".join(kept), len(template), len(text) - len(kept) - len(template)
 
 
 @F.pandas_udf(StructType([StructField("text", ArrayType(StringType())), StructField("kind", ArrayType(IntegerType()))]))
@@ -211,7 +212,8 @@ def _lines(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", range_pages: int = 500) -> DataFrame:
-    """page_id, url and text (the main text). range_pages: about how many pages of neighbouring URLs one range holds, as long
+    """page_id, url, text (the main text), n_shared (lines deleted as the neighbour has them) and n_apart (those deleted by what
+    element they are in alone). range_pages: about how many pages of neighbouring URLs one range holds, as long
     as there are no more than four ranges for each shuffle partition of the session.
 
     Bounds of the ranges come from a sample; the result does not depend on them. They, and the first and last page of
@@ -252,7 +254,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
 
         def done(row, behind):
             mate = next((x for x in (before, behind) if x is not None and (x.to, x.host) == (row.to, row.host)), None)
-            return row.page_id, row.url, difference((list(row.text), list(row.kind)), None if mate is None else list(mate.text))
+            return row.page_id, row.url, *difference((list(row.text), list(row.kind)), None if mate is None else list(mate.text))
 
         for batch in batches:
             out = []
@@ -262,10 +264,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
                         out.append(done(now, row))
                     before = now
                 now = row
-            yield pd.DataFrame(out, columns=["page_id", "url", "text"])
+            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_shared", "n_apart"])
         if now is not None and now.own:
-            yield pd.DataFrame([done(now, None)], columns=["page_id", "url", "text"])
+            yield pd.DataFrame([done(now, None)], columns=["page_id", "url", "text", "n_shared", "n_apart"])
 
     kept = ordered.select(F.col("page_id").cast("string"), "url", "host", "text", "kind", "to", "own")
     kind = dict(pages.dtypes)[page_id]
-    return kept.mapInPandas(run, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast(kind))
+    return kept.mapInPandas(run, "page_id string, url string, text string, n_shared long, n_apart long").withColumn("page_id", F.col("page_id").cast(kind))
