@@ -39,8 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), n_words(F.col("text")))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    """Longer documents are preferred, by the root of their words."""
+    size = n_words(F.col("text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), size, preference=F.sqrt(size))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "probability")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +114,16 @@ _OP8 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html,'')) AS BIGINT) A
  SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)"""
 
 
+#: Hashes, scores and slots as in ``sharding``; the crc32 goes over the UTF-8 bytes, by a table of 256 numbers made here.
+_OP10 = r"""WITH b AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS crc),
+ d AS (SELECT row_number() OVER () AS n, doc_id, CAST(strlen(coalesce(text,'')) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text,''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+ c AS (SELECT n, doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, crc[xor(a, x) % 256 + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, b),
+ k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '~') AS key FROM c),
+ r AS (SELECT *, list_transform(range(9), lambda i: (-1.0) / ln((CAST('0x' || substr(md5(key || '/' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS scores, CAST('0x' || substr(md5(key || '/slot'), 1, 13) AS BIGINT) % 1024 AS bucket FROM k),
+ s AS (SELECT *, CAST(list_position(scores[1:8], list_max(scores[1:8])) - 1 AS INT) AS shard, CAST(list_position(scores, list_max(scores)) - 1 AS INT) AS grown_shard FROM r)
+ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express; tests hold the others against brute force."""
-    return {"op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_jaccard_join": _OP7, "op8_warc": _OP8}
+    return {"op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_jaccard_join": _OP7, "op8_warc": _OP8, "op10_sharding": _OP10}

@@ -4,7 +4,7 @@ Each shard gives each key a score ``-weight / ln(u)``, u being a uniform hash of
 shard of the highest score. A shard's chance is its weight's share, and a further shard takes keys only into itself,
 for the scores of the others stay as they are.
 
-Null keys are hashed as one key of their own. Repeated keys share a shard. Empty tables give empty tables. Input columns
+Null keys are hashed as one key of their own, the string "~". Repeated keys share a shard. Empty tables give empty tables. Input columns
 whose names clash with those added are replaced by the added ones.
 """
 
@@ -16,16 +16,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _unit(*parts: Column) -> Column:
+def _number(key: Column, salt: str) -> Column:
+    """52 bits of a hash that any SQL engine computes alike."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("~")), F.lit(f"/{salt}"))), 1, 13), 16, 10).cast("long")
+
+
+def _unit(key: Column, salt: str) -> Column:
     """A hash in the open interval from 0 to 1."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return (_number(key, salt).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard (0 to ``len(weights) - 1``) that a key goes to; weights are above 0."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights: one number above 0 for each shard")
-    scores = [F.struct((F.lit(-float(w)) / F.log(_unit(key, F.lit(i)))).alias("score"), F.lit(-i).alias("rank")) for i, w in enumerate(weights)]
+    scores = [F.struct((F.lit(-float(w)) / F.log(_unit(key, str(i)))).alias("score"), F.lit(-i).alias("rank")) for i, w in enumerate(weights)]
     return (-F.array_max(F.array(*scores)).getField("rank")).cast("int")
 
 
@@ -36,7 +41,7 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str
     rows of the buckets before it. The offsets (shards times buckets rows) are all that is broadcast. order: further
     columns that make the numbers of rows with one key repeatable; rows equal in these too are interchangeable.
     """
-    dealt = df.withColumns({"shard": rendezvous(F.col(key), weights), "_bucket": F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int")})
+    dealt = df.withColumns({"shard": rendezvous(F.col(key), weights), "_bucket": (_number(F.col(key), "slot") % buckets).cast("int")})
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     within = Window.partitionBy("shard", "_bucket").orderBy(key, *order)

@@ -151,7 +151,7 @@ def test_lines_of_a_page():
 
 
 def main_text(html, neighbour=None):
-    return html_text.difference(html_text.lines(html), neighbour)
+    return html_text.difference(html_text.lines(html), neighbour)[0]
 
 
 def test_names_are_whole_classes_and_few_ids():
@@ -299,30 +299,59 @@ def test_capped_shares():
     assert mixing.capped_shares([], [], 3) == [] and mixing.capped_shares([0, 4], [5, 2], 3) == [0.0, 4.0]
 
 
+def drawn(rows):
+    """Keys of a source's further copies, by going along the order one by one."""
+    left = rows[0].target - rows[0].target // max(1, rows[0].source_size) * rows[0].source_size
+    out = set()
+    for r in sorted(rows, key=lambda r: (r.order, r.source, r.key, r.size, r.nth)):
+        if r.size <= left and (r.size or left):
+            out.add((r.key, r.size, r.nth))
+            left -= r.size
+        if left <= 0.001 * rows[0].target:
+            break
+    return out, left
+
+
 def test_mix(docs, empty):
-    mixed = mixing.mix(docs, n_words(F.col("text"))).collect()
-    assert len(mixed) == docs.count()
-    by = collections.defaultdict(list)
-    for r in mixed:
-        by[r.source].append(r)
-    for rows in by.values():
-        left = rows[0].target - sum(r.copies * r.size for r in rows)
-        assert 0 <= left <= max(60, 0.001 * rows[0].target) and all(0 <= r.copies <= 3 for r in rows)
-        assert rows[0].source_size == sum(r.size for r in rows)
-    again = mixing.mix(docs.repartition(3), n_words(F.col("text"))).collect()
-    assert sorted((r.id, r.copies) for r in again) == sorted((r.id, r.copies) for r in mixed)
-    out = mixing.mixed_rows(docs, n_words(F.col("text")))
+    size = n_words(F.col("text"))
+    for preference in (None, F.sqrt(size)):
+        mixed = mixing.mix(docs, size, preference=preference).collect()
+        assert len(mixed) == docs.count()
+        by = collections.defaultdict(list)
+        for r in mixed:
+            by[r.source].append(r)
+        for rows in by.values():
+            assert rows[0].source_size == sum(r.size for r in rows) and all(0 <= r.copies <= 3 for r in rows)
+            certain = int(rows[0].target // max(1, rows[0].source_size))
+            assert {r.copies - certain for r in rows} <= {0, 1}
+            out = {(r.key, r.size, r.nth) for r in rows if r.copies > certain and r.size}
+            expected, left = drawn(rows)
+            expected = {x for x in expected if x[1]}
+            over = [r for r in rows if left < r.size < 2 * left and (r.key, r.size, r.nth) not in expected] if left > 0.001 * rows[0].target else []
+            nearest = {(k, n, i) for n, _, k, i in [min((r.size, r.order, r.key, r.nth) for r in over)]} if over else set()
+            assert out == expected | nearest
+            error = rows[0].target - sum(r.copies * r.size for r in rows)
+            assert abs(error) <= max(0.001 * rows[0].target, min((r.size for r in rows if r.size and r.copies == certain), default=0) / 2 + 1)
+        again = mixing.mix(docs.repartition(3), size, preference=preference).collect()
+        assert sorted((r.id, r.copies) for r in again) == sorted((r.id, r.copies) for r in mixed)
+    out = mixing.mixed_rows(docs, size, preference=F.sqrt(size))
     assert out.columns == docs.columns
     assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter({r.id: r.copies for r in mixed if r.copies})
-    assert mixing.mix(empty, n_words(F.col("text"))).count() == 0
+    assert mixing.mix(empty, size).count() == 0
 
 
 def test_preference_and_repeated_rows(spark):
-    rows = spark.createDataFrame([(i // 2, "s", 10, 4.0 if i % 4 < 2 else 1.0) for i in range(2000)] + [(None, "t", 60, 1.0)] * 300, "doc_id long, source string, size long, liked double")
-    mixed = mixing.mix(rows, F.col("size"), weights=(1, 3), preference=F.col("liked"))
+    rows = spark.createDataFrame([(i // 2, "s", 10, 4.0 if i % 4 < 2 else 1.0) for i in range(2000)] + [(None, "t", 60, 1.0)] * 300 + [(5, None, None, None)], "doc_id long, source string, size long, liked double")
+    mixed = mixing.mix(rows, F.coalesce("size", F.lit(0)), weights=(1, 3), preference=F.col("liked"))
     taken = {(r.source, r.liked): r.n for r in mixed.join(rows.select("doc_id", "liked").distinct(), mixed.id == rows.doc_id).groupBy(mixed.source, "liked").agg(F.sum("copies").alias("n")).collect()}
     assert taken["ss", 4.0] > 2 * taken["ss", 1.0]
-    assert mixed.count() == 2300 and mixed.where("source = 'st'").agg(F.sum("copies")).first()[0] == int(38_000 * 0.75 / 60)
+    assert mixed.count() == 2301 and mixed.where("source = 'st'").agg(F.sum("copies")).first()[0] == round(38_000 * 0.75 / 60)
+
+
+def test_scales_of_inclusion():
+    assert mixing.capped_scale({0: 100, 8: 100}, 90) == pytest.approx(0.3) and mixing.capped_scale({}, 5) == float("inf")
+    c = mixing.capped_scale({0: 100, 24: 50}, 70)  # the most preferred are certain
+    assert c == pytest.approx(0.2) and mixing.capped_scale({0: 10}, 10) == pytest.approx(1.0)
 
 
 # --- 6 ---
@@ -507,6 +536,13 @@ def test_rendezvous(spark):
         sharding.rendezvous(F.lit(1), [1, 0])
 
 
+def test_shards_are_written_as_dealt(spark, docs, tmp_path):
+    dealt = sharding.shard(docs.select("doc_id", "text"), "doc_id", [1.0, 2.0])
+    sharding.write_shards(dealt, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in dealt.collect())
+
+
 def test_slots_have_no_gaps(spark, docs, empty):
     rows = docs.select("doc_id", "text", "shard").unionByName(docs.select("doc_id", "text", "shard").where("doc_id < 5")).unionByName(spark.createDataFrame([(None, "t", "s")] * 3, "doc_id long, text string, shard string"))
     dealt = sharding.shard(rows, "doc_id", [1.0] * 3, order=["text"], buckets=8).collect()
