@@ -50,7 +50,8 @@ def benchmark_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs, n_words(F.col("text")))
+    size = n_words(F.col("text"))
+    return mixing.mixed_rows(docs, size, preference=F.sqrt(size))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
