@@ -195,19 +195,29 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], *, precision: float
     return DecisionList(tuple(rules))
 
 
+def _first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of the smallest hash of the key. Rows far above are left out first, so that no more than some above ``most`` meet."""
+    hashed, total = F.xxhash64(key), rows.count()
+    if total > most:
+        share = (most + 6 * most**0.5 + 100) / total  # of equally spread hashes, this share holds ``most`` but for one case in 10^9
+        few = rows.where(hashed <= int(-(1 << 63) + min(share, 1.0) * ((1 << 64) - 1)))
+        rows = few if few.limit(most).count() == most else rows  # repeated keys can be spread unevenly
+    return rows.orderBy(hashed, *rows.columns).limit(most)
+
+
 def fit(counted: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", quality: str = "quality", sample_rows: int = 50_000, **options) -> DecisionList:
     """Learn from the counted rows that have labels (quality 0 rejects, 1 keeps) and pass the base rules, ``sample_rows`` of them at most."""
     by_name = features()
     labelled = labels.where(F.col(quality).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(quality) == 0).alias("bad"))
     rows = counted.where(~base_failed()).join(labelled, F.col(doc_id) == F.col("_id")).select("_id", *(c.alias(n) for n, c in by_name.items()), "bad")
-    sample = rows.orderBy(F.xxhash64("_id"), *rows.columns).limit(sample_rows).toPandas()
+    sample = _first_by_hash(rows, "_id", sample_rows).toPandas()
     return learn(sample[list(by_name)].to_numpy(float), sample["bad"].to_numpy(bool), list(by_name), **options)
 
 
 def fit_texts(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 50_000, **options) -> DecisionList:
     """As ``fit``, from texts that are not counted yet: only those of a sample of the labels are counted."""
     some = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, quality)
-    some = some.orderBy(F.xxhash64(doc_id), doc_id, quality).limit(sample_rows)
+    some = _first_by_hash(some, doc_id, sample_rows)
     ids = F.broadcast(some.select(doc_id).distinct())  # sample_rows ids at most
     counted = saved(statistics(docs.join(ids, doc_id, "left_semi").select(doc_id, text), text).drop(text), "sample")
     return fit(counted, some, doc_id=doc_id, quality=quality, sample_rows=sample_rows, **options)
