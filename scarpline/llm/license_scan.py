@@ -6,7 +6,8 @@ of the template's words. Windows run over line ends. Each template is looked for
 template that overlap, the one with the fewest differences is the finding; a finding that lies within another template's
 with fewer differences is dropped. All others are reported, so equal notices are findings each, and a text that two
 templates fit equally well has both. A finding's reduction is how much smaller the window is when it is compressed with the
-template as a zstandard raw dictionary than by itself.
+template as a zstandard raw dictionary than by itself; its rank is the template's place among all templates by that
+reduction (1: the best, equal ones share a place), so wording and compression can be held against each other.
 
 Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. Repeated
 rows give equal results. Texts of any length are scanned as wholes. Empty tables give empty tables; columns other than
@@ -41,7 +42,7 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 _WORD = re.compile(r"\w(?:[\w.\-]*\w)?")
-FINDING = StructType([StructField("license", StringType()), StructField("line", IntegerType()), StructField("reduction", DoubleType()), StructField("missing", ArrayType(StringType())), StructField("extra", ArrayType(StringType()))])
+FINDING = StructType([StructField("license", StringType()), StructField("line", IntegerType()), StructField("reduction", DoubleType()), StructField("missing", ArrayType(StringType())), StructField("extra", ArrayType(StringType())), StructField("rank", IntegerType())])
 
 
 def _allowed(words: list[str], share: float) -> int:
@@ -126,7 +127,7 @@ class Scanner:
         return out
 
     def text(self, text: str) -> list[tuple]:
-        """license, line of the first word, reduction, missing and extra words of each finding, by place."""
+        """license, line of the first word, reduction, missing and extra words, and rank of each finding, by place."""
         low = text.lower()
         if not self.cues.search(low):
             return []
@@ -146,8 +147,10 @@ class Scanner:
             line, before = line + low.count("\n", before, places[s]), places[s]
             window = low[places[s] : _WORD.match(low, places[e - 1]).end()]
             raw = window.encode("utf-8", "surrogatepass")
-            reduction = 1 - len(self.given[k].compress(raw)) / len(self.alone.compress(raw))
-            out.append((k, line, reduction, *differences(self.words[k], _WORD.findall(window))))
+            packed = {t: len(c.compress(raw)) for t, c in self.given.items()}
+            rank = 1 + sum(n < packed[k] for n in packed.values())
+            reduction = 1 - packed[k] / len(self.alone.compress(raw))
+            out.append((k, line, reduction, *differences(self.words[k], _WORD.findall(window)), rank))
         return out
 
 

@@ -63,7 +63,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_sort(F.array_distinct("findings.license"))
-    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max("findings.reduction"), 6).alias("reduction"))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(names, ",").alias("licenses"), F.round(F.array_max("findings.reduction"), 6).alias("reduction"), F.array_max("findings.rank").alias("worst_rank"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -514,7 +514,7 @@ def test_notices_over_lines_and_side_by_side(spark):
     assert found_licenses("Licensed under CC BY 4.0. Released under the MIT License.") == [("CC-BY-4.0", 0), ("MIT", 0)]
     assert found_licenses("Released under the MIT License. " * 3 + "\nReleased under\nthe MIT License.") == [("MIT", 0)] * 3 + [("MIT", 1)]
     changed = mit.replace("any person", "any one person").replace("free of charge, ", "free of, ")
-    assert [f[3:] for f in license_scan.Scanner(license_scan.TEMPLATES, 0.1).text(f"x {changed} y")] == [(["charge"], ["one"])]
+    assert [f[3:] for f in license_scan.Scanner(license_scan.TEMPLATES, 0.1).text(f"x {changed} y")] == [(["charge"], ["one"], 1)]
     assert found_licenses(mit.replace("free of charge, ", "")) == []
     more = {f"T{i}": f"use as is {i}" for i in range(8)}
     assert found_licenses("; ".join(more.values()), more) == [(k, 0) for k in more]
