@@ -253,7 +253,7 @@ def random_absences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _small() -> dict[str, dict]:
-    return {"rf": {"trees": 20, "depth": 6}, "lr": {"rounds": 50}, "gbt": {"rounds": 8, "depth": 3}}
+    return {"rf": {"trees": 20, "depth": 6}, "lr": {}, "gbt": {"rounds": 8, "depth": 3}}
 
 
 def _trained(name: str) -> Query:
@@ -277,7 +277,7 @@ def kfold_cv(spark: SparkSession, d: str) -> DataFrame:
 
 def buffered_cv(spark: SparkSession, d: str) -> DataFrame:
     rows = sampling.block_folds(labelled(spark, d), 8000.0, 3)
-    return cv.buffered_cv(rows, "id", FEATURES, models.factory("lr", rounds=20), 300.0)
+    return cv.buffered_cv(rows, "id", FEATURES, models.factory("lr"), 300.0)
 
 
 def pu_refine(spark: SparkSession, d: str) -> DataFrame:
@@ -285,7 +285,7 @@ def pu_refine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ga_select(spark: SparkSession, d: str) -> DataFrame:
-    chosen = selection.choose(labelled(spark, d), "id", FEATURES, "ga", model="rf", population=2, generations=1, folds=2)
+    chosen = selection.choose(labelled(spark, d), "id", FEATURES, "ga", model="rf")
     return spark.createDataFrame([(c, chosen.fitness) for c in chosen.chosen], "feature string, fitness double")
 
 
@@ -315,7 +315,7 @@ def presence_only_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def ml_pipeline(spark: SparkSession, d: str) -> DataFrame:
     study = tables.Study(features=tuple(FEATURES), folds=2, fold_radius=300.0)
-    return jobs.susceptibility(labelled(spark, d), "id", study, names=("lr",), block=8000.0, options={"lr": {"rounds": 20}})["metrics"]
+    return jobs.susceptibility(labelled(spark, d), "id", study, names=("lr",), block=8000.0)["metrics"]
 
 
 NATIVE: tuple[Query, ...] = (
