@@ -25,8 +25,14 @@ def bucket_edges(value: Column) -> Column:
 
 def bucket_of(value: Column, edges: Column) -> Column:
     """How many edges are below the value; equal values share a bucket. Looks at every ROOT-th edge, then at those between two."""
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(ROOT - 1)), lambda i: F.get(edges, i * ROOT - 1)), lambda e: e < value))
-    return F.when(value.isNotNull() & edges.isNotNull(), coarse * ROOT + F.size(F.filter(F.slice(edges, coarse * ROOT + 1, F.lit(ROOT - 1)), lambda e: e < value)))
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda e: e < value))
+
+    coarse = below(F.transform(F.sequence(F.lit(1), F.lit(ROOT - 1)), lambda i: F.get(edges, i * ROOT - 1)))
+    # An array of one gives the coarse number a name, so that it is computed once.
+    found = F.transform(F.array(coarse), lambda c: c * ROOT + below(F.slice(edges, c * ROOT + 1, F.lit(ROOT - 1))))[0]
+    return F.when(value.isNotNull() & edges.isNotNull(), found)
 
 
 def threshold_select(df: DataFrame, k: DataFrame, lead: Column, ties: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -36,23 +42,32 @@ def threshold_select(df: DataFrame, k: DataFrame, lead: Column, ties: Sequence[s
     leading value come last. With less than k rows, all are taken.
     """
     rows = df.withColumn("_lead", lead.cast("double"))
-    ends = rows.groupBy(*by).agg(bucket_edges(F.col("_lead")).alias("_edges"))
-    ends = (ends.join(k, list(by)) if by else ends.crossJoin(k)).withColumnRenamed("k", "_k")
-    bucketed = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))
-    bucketed = bucketed.withColumn("_bucket", F.coalesce(bucket_of(F.col("_lead"), F.col("_edges")), F.lit(BUCKETS))).drop("_edges")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(F.broadcast(right), list(by)) if by else left.crossJoin(F.broadcast(right))
+
+    ends = joined(rows.groupBy(*by).agg(bucket_edges(F.col("_lead")).alias("_edges")), k.withColumnRenamed("k", "_k"))
+    bucket = F.coalesce(bucket_of(F.col("_lead"), F.col("_edges")), F.lit(BUCKETS))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = bucketed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.first("_k").alias("_k"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before < _k")
-    plan = counts.select(*by, "_bucket", (F.col("_before") + F.col("_n") <= F.col("_k")).alias("_whole"), (F.col("_k") - F.col("_before")).alias("_room"))
-    marked = bucketed.drop("_k").join(F.broadcast(plan), [*by, "_bucket"])
-    rank = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_lead", *ties))
-    border = marked.where(~F.col("_whole")).withColumn("_rank", rank).where("_rank <= _room")
-    return marked.where("_whole").select(*df.columns).unionByName(border.select(*df.columns))
+    counts = joined(rows, ends).groupBy(*by, bucket.alias("_bucket")).agg(F.count("*").alias("_n"), F.first("_k").alias("_k"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    after, last = F.col("_before") + F.col("_n"), (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") > F.col("_k"))
+    # Of each group: the last bucket that is taken whole, the one at the border if there is one, and the room that is left for it.
+    found = counts.groupBy(*by).agg(F.coalesce(F.max(F.when(after <= F.col("_k"), F.col("_bucket"))), F.lit(-1)).alias("_upto"), F.max(F.when(last, F.col("_bucket"))).alias("_border"), F.max(F.when(last, F.col("_k") - F.col("_before"))).alias("_room"))
+    plan = joined(ends, found).select(*by, "_upto", "_border", "_room", *(F.get("_edges", i).alias(n) for n, i in (("_top", F.col("_upto")), ("_low", F.col("_border") - 1), ("_high", F.col("_border")))))
+    # Buckets become comparisons with their edges.
+    marked, value = joined(rows, plan), F.col("_lead")
+    whole = F.when(value.isNull(), F.col("_upto") >= BUCKETS).otherwise((F.col("_upto") >= BUCKETS - 1) | F.coalesce(value <= F.col("_top"), F.lit(False)))
+    inside = ((F.col("_border") == 0) | (value > F.col("_low"))) & ((F.col("_border") == BUCKETS - 1) | (value <= F.col("_high")))
+    at_border = F.col("_border").isNotNull() & F.when(value.isNull(), F.col("_border") == BUCKETS).otherwise((F.col("_border") < BUCKETS) & inside)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_lead", *ties))
+    border = marked.where(at_border & ~whole).withColumn("_rank", rank).where("_rank <= _room")
+    return marked.where(whole).select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def numbered(df: DataFrame, lead: Column, ties: Sequence[str], by: Sequence[str] = (), name: str = "number") -> DataFrame:
     """Gapless numbers from 0 by (lead, ties) within each group; lead is from 0 to HASH_RANGE."""
-    rows = df.withColumn("_bucket", F.floor(lead / (HASH_RANGE // BUCKETS)).cast("int")).withColumn("_lead", lead)
+    rows = df.withColumn("_bucket", F.floor(lead / (HASH_RANGE // BUCKETS + 1)).cast("int")).withColumn("_lead", lead)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*by, "_bucket").count().select(*by, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_lead", *ties)) - 1
