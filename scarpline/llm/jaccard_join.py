@@ -96,9 +96,11 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, n: int, ranges: int, block:
             starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else order
             count = np.diff(np.append(starts, len(every))).astype(np.uint32)
             within = np.repeat(count > 1, count)
-            yield _batch([(number, number % ranges, list(ids), list(keys), sizes, names, owner[within].tobytes(), every[within].tobytes(), None)])
+            yield _batch([(number, number % ranges, list(ids), list(keys), sizes, names, owner[within].tobytes(), None, count[count > 1].astype(np.uint16).tobytes())])
             every, owner = every[starts], np.where(count > 1, np.uint16(SEVERAL), owner[starts])
-            place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)  # ascends, as the hashes do
+            place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            order = np.lexsort((owner, place))  # runs of one document pack better
+            every, owner, count, place = every[order], owner[order], count[order], place[order]
             cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
             rows = []
             for r in range(ranges):
@@ -178,9 +180,9 @@ def _reduced(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         if rows:
             idx, hashes, count = (np.concatenate([np.frombuffer(r[i], k) for r in rows]) for i, k in ((6, np.uint16), (7, np.uint64), (8, np.uint32)))
             several = idx == SEVERAL
-            # N-grams of several documents of the block: the row of documents says which.
-            known, inside = np.sort(hashes[several]), np.frombuffer(docs[7], np.uint64)
-            counts = count[several][np.argsort(hashes[several])][np.searchsorted(known, inside)]
+            # N-grams of several documents of the block all come back; by their hashes, the row of documents says how many and which.
+            order, lengths = np.argsort(hashes[several]), np.frombuffer(docs[8], np.uint16)
+            inside, counts = np.repeat(hashes[several][order], lengths), np.repeat(count[several][order], lengths)
             idx, hashes, count = np.append(idx[~several], np.frombuffer(docs[6], np.uint16)), np.append(hashes[~several], inside), np.append(count[~several], counts)
             left = np.bincount(idx, minlength=len(sizes))
             enough = (left > 0) & (100 * left >= percent * sizes)
