@@ -68,6 +68,13 @@ _KINDS = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] *
 _NAMES = [c.split()[0] for c in _INCIDENCE.split(", ")]
 
 
+def runs(ordered: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each different value of an ordered array, and where it stands."""
+    values, starts = np.unique(ordered, return_index=True)
+    for value, a, b in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ordered)][: len(values)], strict=True):
+        yield value, slice(a, b)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
@@ -101,15 +108,14 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, n: int, ranges: int, block:
             place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             order = np.lexsort((owner, place))  # runs of one document pack better
             every, owner, count, place = every[order], owner[order], count[order], place[order]
-            cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
             rows = []
-            for r in range(ranges):
-                if cuts[r] < cuts[r + 1]:
-                    part = slice(cuts[r], cuts[r + 1])
-                    rows.append((number, r, None, None, None, None, owner[part].tobytes(), every[part].tobytes(), count[part][owner[part] == SEVERAL].tobytes()))
-                if len(rows) == 64 or rows and r + 1 == ranges:
+            for r, part in runs(place):
+                rows.append((number, r, None, None, None, None, owner[part].tobytes(), every[part].tobytes(), count[part][owner[part] == SEVERAL].tobytes()))
+                if len(rows) == 64:
                     yield _batch(rows)
                     rows = []
+            if rows:
+                yield _batch(rows)
 
         for batch in slices(batches):
             for doc, key, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), n), strict=True):
@@ -209,16 +215,18 @@ def _reduced(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield flush(docs, held)
 
 
-def reduced_sets(docs: DataFrame, *, doc_id: str, text: str, n: int, percent: int, block: int = 1_200_000, range_bytes: int = 10_000_000) -> DataFrame:
-    """One row for each document row: doc_id, key (a hash of the text), size (of its set), set (the set's hash), rest (n-grams left, rarest first, or null)."""
+def reduced_sets(docs: DataFrame, *, doc_id: str, text: str, n: int, percent: int, block: int = 1_200_000, range_bytes: int = 10_000_000, tasks: int = 20_000) -> DataFrame:
+    """One row for each document row: doc_id, key (a hash of the text), size (of its set), set (the set's hash), rest (n-grams left, rarest first, or null).
+
+    A range holds the n-grams of ``range_bytes`` of text; beyond ``tasks`` ranges a task counts several, one after the other.
+    """
     spark = docs.sparkSession
     amount = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, -(-amount // range_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _rows_per_batch(spark, 48):
         blocks = _blocks(docs, doc_id, text, n, ranges, block)
-        # One task for each range.
-        counted = blocks.repartitionById(ranges, "range").sortWithinPartitions("range").mapInArrow(_counted, _INCIDENCE)
+        counted = blocks.repartitionById(min(ranges, tasks), F.col("range") % min(ranges, tasks)).sortWithinPartitions("range").mapInArrow(_counted, _INCIDENCE)
         back = counted.repartition(parts, "batch").sortWithinPartitions("batch", F.col("docs").isNull())
         return saved(back.mapInArrow(lambda b: _reduced(b, percent), _REDUCED), "sets")
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton, spans
 from .common import gram_hashes, saved, scratch, slices, word_hashes
-from .jaccard_join import SEVERAL, _rows_per_batch
+from .jaccard_join import SEVERAL, _rows_per_batch, runs
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -104,16 +104,15 @@ def _blocks(docs: DataFrame, least: int, k: int, ranges: int, block: int) -> Dat
             sent = ~within | heads
             owner, at, every, span, count = owner[sent], at[sent], every[sent], span[sent], count[sent]
             place = ((every >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)  # ascends, as the hashes do
-            cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
             rows = []
-            for r in range(ranges):
-                if cuts[r] < cuts[r + 1]:
-                    part = slice(cuts[r], cuts[r + 1])
-                    o = owner[part]
-                    rows.append((number, r, None, None, o.tobytes(), every[part].tobytes(), at[part][o != SEVERAL].tobytes(), span[part][o != SEVERAL].tobytes(), count[part][o == SEVERAL].tobytes()))
-                if len(rows) == 64 or rows and r + 1 == ranges:
+            for r, part in runs(place):
+                o = owner[part]
+                rows.append((number, r, None, None, o.tobytes(), every[part].tobytes(), at[part][o != SEVERAL].tobytes(), span[part][o != SEVERAL].tobytes(), count[part][o == SEVERAL].tobytes()))
+                if len(rows) == 64:
                     yield _batch(rows)
                     rows = []
+            if rows:
+                yield _batch(rows)
 
         for batch in slices(batches):
             if len(ids) + batch.num_rows >= SEVERAL:
@@ -215,15 +214,18 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(docs, held)
 
 
-def anchors(docs: DataFrame, least: int, k: int, hot: int, *, block: int = 500_000, range_bytes: int = 30_000_000) -> DataFrame:
-    """doc_id, key and the anchors that other documents have too: at, span, hash, hot. docs: doc_id, key (of the text), text."""
+def anchors(docs: DataFrame, least: int, k: int, hot: int, *, block: int = 500_000, range_bytes: int = 30_000_000, tasks: int = 20_000) -> DataFrame:
+    """doc_id, key and the anchors that other documents have too: at, span, hash, hot. docs: doc_id, key (of the text), text.
+
+    A range holds the anchors of ``range_bytes`` of text; beyond ``tasks`` ranges a task counts several, one after the other.
+    """
     spark = docs.sparkSession
     amount = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-amount // range_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _rows_per_batch(spark, 48):
         blocks = _blocks(docs, least, k, ranges, block)
-        found = blocks.repartitionById(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda b: _shared(b, hot), _BLOCK)
+        found = blocks.repartitionById(min(ranges, tasks), F.col("range") % min(ranges, tasks)).sortWithinPartitions("range").mapInArrow(lambda b: _shared(b, hot), _BLOCK)
         back = found.repartition(parts, "batch").sortWithinPartitions("batch", F.col("docs").isNull())
         return saved(back.mapInArrow(_returned, _ANCHORS), "anchors")
 

@@ -435,6 +435,15 @@ def test_groups_whose_members_are_not_all_linked(spark, block):
     assert got == component_ids(rows)
 
 
+def test_several_ranges_in_a_task(spark, docs):
+    """Ranges far smaller than a block, and more of them than tasks, leave the same n-grams and anchors."""
+    whole, cut = (sorted((r.doc_id is None, r.doc_id or 0, r.key or 0, sorted(r.rest or [])) for r in jaccard_join.reduced_sets(docs, doc_id="doc_id", text="text", n=5, percent=75, **more).collect()) for more in ({}, {"range_bytes": 500, "tasks": 3}))
+    assert whole == cut
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").where("doc_id is not null")
+    whole, cut = (sorted(map(tuple, substring_dedup.anchors(keyed, 13, 6, 2000, **more).collect()), key=str) for more in ({}, {"range_bytes": 500, "tasks": 3}))
+    assert whole == cut and whole
+
+
 def test_equal_and_null_ids(spark):
     rows = spark.createDataFrame([(7, "a b c d e f g"), (7, "a b c d e f g"), (None, "A b c d e f g"), (3, "q"), (None, None)], "doc_id long, text string")
     got = [(r.doc_id, r["size"], r.component_id) for r in jaccard_join.components(rows).collect()]
