@@ -4,14 +4,14 @@ A notice is a window of a text's words that differs from a template in missing a
 of the template's words. Windows run over line ends. Each template is looked for at all places that hold one of its cues
 (so many of its longest words that a notice can't miss all of them), and aligned word by word there. Of windows of one
 template that overlap, the one with the fewest differences is the finding; a finding that lies within another template's
-with fewer differences is dropped. All others are reported, so equal notices are findings each, and a text that two
-templates fit equally well has both. A finding's reduction is how much smaller the window is when it is compressed with the
+is dropped if that one has fewer differences, or as many in more words. All others are reported, so equal notices are findings
+each, and a window that two templates fit equally well has both. A finding's reduction is how much smaller the window is when it is compressed with the
 template as a zstandard raw dictionary than by itself; its rank is the template's place among all templates by that
 reduction (1: the best, equal ones share a place), so wording and compression can be held against each other.
 
 Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. Repeated
 rows give equal results. Texts of any length are scanned as wholes. Empty tables give empty tables; columns other than
-those named are carried along. Templates are a parameter: some dozens of short texts, sent with the tasks; each must have a
+those named are carried along. Templates are a parameter: some dozens of notices, sent with the tasks; each must have a
 word.
 """
 
@@ -40,6 +40,41 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain
+        a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under
+        the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "GPL-3.0-or-later-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+        be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details.""",
+    "GPL-2.0-or-later-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will
+        be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details.""",
+    "LGPL-2.1-or-later-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+        GNU Lesser General Public License for more details.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+        You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+        this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 _WORD = re.compile(r"\w(?:[\w.\-]*\w)?")
 FINDING = StructType([StructField("license", StringType()), StructField("line", IntegerType()), StructField("reduction", DoubleType()), StructField("missing", ArrayType(StringType())), StructField("extra", ArrayType(StringType())), StructField("rank", IntegerType())])
@@ -140,7 +175,7 @@ class Scanner:
         for k, found in near.items():
             for off, s, e in found:
                 within = (x[bisect.bisect_right(x, s, key=lambda w: w[1]) - 1] for x in near.values() if x and x[0][1] <= s)
-                if not any(w[0] < off and e <= w[2] for w in within):
+                if not any(e <= w[2] and (w[0], w[1] - w[2]) < (off, s - e) for w in within):
                     kept.append((s, e, k))
         out, line, before = [], 0, 0
         for s, e, k in sorted(kept):

@@ -533,6 +533,22 @@ def test_notices_over_lines_and_side_by_side(spark):
         license_scan.scan(rows, templates={"none": "--"})
 
 
+@pytest.mark.parametrize("name", license_scan.TEMPLATES)
+def test_each_notice_is_found_as_itself(name):
+    """Wrapped as a comment, with a wrong word in long ones; of notices that hold others, or differ by few words, only the right one."""
+    given = license_scan.TEMPLATES[name].split()
+    lines = [f" * {' '.join(x)}" for x in itertools.batched(given, 7)]
+    assert found_licenses("\n".join(["Copyright 2020 A. Author", *lines, "int main() {}"])) == [(name, 1)]
+    if len(given) >= 30:
+        assert (name, 0) in found_licenses("\n".join(lines).replace(given[9], "misspelt", 1))
+
+
+def test_clauses_tell_bsd_licenses_apart():
+    two, three = (license_scan.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause"))
+    disclaimer = two[two.index("THIS SOFTWARE") :]
+    assert found_licenses(f"{three}\n{disclaimer}") == [("BSD-3-Clause", 0)] and found_licenses(two) == [("BSD-2-Clause", 0)]
+
+
 # --- 10 ---
 
 
