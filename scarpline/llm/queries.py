@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, license_scan, mixing, quality, sharding, substring_dedup, token_files, warc
+from . import centroids, decontaminate, html_text, jaccard_join, license_scan, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
 from .common import n_words, saved, scratch, table
 
 
@@ -74,8 +74,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.rendezvous(F.col("doc_id"), [1.0] * 9).alias("grown_shard"))
 
 
+#: The rules of the query, host, path and action.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that 64 bits can't hold is null; ``deviation_exact`` has it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.fit(rows)
+    error = whitening.identity_error(rows, found) if found else 0.0
+    white = whitening.transform(rows, found).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.lit([float(v / found.trace) for v in found.values] if found else []).cast("array<double>")
+    return white.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(found.n if found else 0).cast("long").alias("n"), F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"), F.col("deviation").alias("deviation_exact"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    of = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("cluster"))
+    return found.rows.select("vec_id", "cluster", "distance", of(found.inertia, "bigint").alias("cluster_inertia"), F.lit(sum(found.inertia)).cast("long").alias("inertia"), of(found.digests(), "string").alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op9_license_scan, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_html_text, op3_substring_dedup, op4_quality_rules, op5_mixing, op6_decontaminate, op7_jaccard_join, op8_warc, op9_license_scan, op10_sharding, op11_url_filter, op12_whitening, op13_centroids)}
 
 
 _LOWER = "translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +152,30 @@ _OP10 = r"""WITH b AS (SELECT list_transform(range(256), lambda n: list_reduce(r
  SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM s"""
 
 
+_OP11 = """WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+ h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+ r AS (SELECT * FROM (VALUES %s) t(rule_host, rule_path, action))
+ SELECT p.page_id, p.host, p.path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, coalesce(max_by(action, length(rule_host || rule_path)), 'allow') AS verdict
+ FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL""" % ", ".join(map(str, URL_RULES))
+
+
+def _op13(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    nearest = f"SELECT vec_id, x, min(struct_pack(d := list_sum(list_transform(range(1, {dims} + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), j := j)) AS m FROM v, %s GROUP BY vec_id, x"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        f" WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)",
+        f"k0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY draw) - 1 AS INT) AS j, x AS c FROM (SELECT sha256('3:' || vec_id) AS draw, x FROM v ORDER BY draw LIMIT {k}))",
+    ]
+    for t in range(rounds):
+        steps.append(f"a{t} AS MATERIALIZED ({nearest % f'k{t}'})")
+        steps.append(f"s{t} AS MATERIALIZED (SELECT j, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT m.j AS j, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{t}, range(1, {dims} + 1) t(i) GROUP BY ALL) GROUP BY j)")
+        steps.append(f"k{t + 1} AS MATERIALIZED (SELECT k.j, coalesce(s.c, k.c) AS c FROM k{t} k LEFT JOIN s{t} s USING (j))")
+    steps.append(f"a AS MATERIALIZED ({nearest % f'k{rounds}'})")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, j AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+ CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN k{rounds} ON j = m.j"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of those that it can express; tests hold the others against brute force."""
-    return {"op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_jaccard_join": _OP7, "op8_warc": _OP8, "op10_sharding": _OP10}
+    return {"op3_substring_dedup": _OP3, "op6_decontaminate": _OP6, "op7_jaccard_join": _OP7, "op8_warc": _OP8, "op10_sharding": _OP10, "op11_url_filter": _OP11, "op13_centroids": _op13()}
