@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scarpline.operators.metrics import auc
 from scarpline.operators.models import fit, scores
+from scarpline.operators.newton import fit_folds, fold_predictions
 from scarpline.operators.sampling import stratified_folds
 from scarpline.operators.spatial import distance_join
 from scarpline.sources.tables import saved
@@ -36,38 +38,53 @@ def fold_membership(df: DataFrame, key: str, r: float) -> DataFrame:
     return tests.join(out, "fold").crossJoin(F.broadcast(total)).select("fold", "n_test", (F.col("_n") - F.col("_out")).alias("n_train"))
 
 
+def stratified_predictions(df: DataFrame, key: str, features: Sequence[str], make: Maker, k: int = 5, seed: int = 42, balance: str = "classes") -> DataFrame:
+    """key, target, fold, p: each row by the model of the other folds, which is scaled and weighted by its own training rows."""
+    rows = saved(stratified_folds(df, key, k, seed))
+    parts = [scores(fit(rows.where(F.col("fold") != f), features, make, balance), rows.where(F.col("fold") == f)).select(key, "target", "fold", "p") for f in range(k)]
+    return saved(reduce(DataFrame.unionByName, parts))
+
+
+def fold_aucs(predictions: DataFrame, k: int) -> DataFrame:
+    """fold and auc; null for a fold with one class, which means and deviations leave out (``folds`` counts the others)."""
+    found = [(f, auc(predictions.where(F.col("fold") == f), "p").first()["auc"]) for f in range(k)]
+    return predictions.sparkSession.createDataFrame(found, "fold int, auc double")  # k rows
+
+
 def stratified_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, k: int = 5, seed: int = 42, balance: str = "classes") -> DataFrame:
-    """fold and auc of k models, each scaled and weighted by its own training rows."""
-    rows, found = saved(stratified_folds(df, key, k, seed)), []
-    for f in range(k):
-        model = fit(rows.where(F.col("fold") != f), features, make, balance)
-        found.append((f, auc(scores(model, rows.where(F.col("fold") == f)), "p").first()["auc"]))
-    return df.sparkSession.createDataFrame(found, "fold int, auc double")  # k rows
+    """fold and auc of k models."""
+    return fold_aucs(stratified_predictions(df, key, features, make, k, seed, balance), k)
 
 
 def buffered_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, r: float, folds: Sequence[int] | None = None, max_folds: int = 200, balance: str = "classes") -> DataFrame:
     """key, target, fold, p: predictions for held-out rows by models that saw nothing within r of their fold.
 
-    df has ``fold``; with the row number as fold this is leave-one-out, with squares it takes as many fits as folds. Folds
-    left with one class are skipped. ``pooled_auc`` of the result is the score. More than ``max_folds`` folds are refused.
+    df has ``fold``; with squares as folds it takes as many fits as folds. Folds left with one class are skipped; if all are, no
+    row comes back and the score is null. ``pooled_auc`` of the result is the score. More than ``max_folds`` folds are refused:
+    ``buffered_logistic`` takes any number.
     """
     names = sorted(r_["fold"] for r_ in df.select("fold").distinct().limit(max_folds + 1).collect()) if folds is None else list(folds)
     if len(names) > max_folds:
         raise ValueError(f"More than {max_folds} folds; deal squares to fewer folds, or raise max_folds")
     rows = saved(df.join(excluded_folds(df, key, r), key))
-    parts: list[DataFrame] = []
+    parts = [df.select(key, "target", "fold", F.lit(None).cast("double").alias("p")).limit(0)]
     for f in names:
         train = rows.where(~F.array_contains("excluded", F.lit(f)))
         if train.select("target").distinct().count() < 2:
             continue
         parts.append(scores(fit(train, features, make, balance), rows.where(F.col("fold") == f)).select(key, "target", "fold", "p"))
-    if not parts:
-        raise ValueError("No fold has both classes to train on")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def buffered_logistic(df: DataFrame, key: str, features: Sequence[str], r: float, c: float = 1.0) -> DataFrame:
+    """``buffered_cv`` of logistic regression for any number of folds, all of them fitted together; with the row's key as fold it is leave-one-out.
+
+    Keys must be unique. The fits are those of ``models.logistic_regression`` on standard scores and balanced classes, to the end.
+    """
+    found, rows = fit_folds(df, features, excluded_folds(df, key, r), key, c)
+    return fold_predictions(found, rows, key)
 
 
 def pooled_auc(predictions: DataFrame) -> DataFrame:
+    """One row, ``auc``, over all held-out rows; null if a class, or every row, is missing."""
     return auc(predictions, "p")

@@ -9,7 +9,7 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.operators.models import fit, scores
+from scarpline.operators.models import fit, reseeded, scores
 from scarpline.operators.sampling import bag_draws
 from scarpline.operators.scaling import scaled
 from scarpline.operators.select import bottom_fraction
@@ -35,7 +35,7 @@ class BaggedModel:
 
 
 def bagged(df: DataFrame, key: str, features: Sequence[str], make: Callable[[DataFrame], Estimator], bags: int = 10, ratio: float = 1.0, seed: int = 42) -> BaggedModel:
-    """Fit a model for each bag. An error if there are no positives or no unlabeled rows."""
+    """Fit a model for each bag, by rows and an estimator's seed of its own. An error if there are no positives or no unlabeled rows."""
     counts = df.agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("free")).first()
     if not counts["pos"] or not counts["free"]:
         raise ValueError("Bagging takes at least one positive and one unlabeled row")
@@ -43,7 +43,7 @@ def bagged(df: DataFrame, key: str, features: Sequence[str], make: Callable[[Dat
     positive, models = df.where("target = 1").persist(), []
     for b in range(bags):
         rows = positive.unionByName(df.join(drawn.where(F.col("bag") == b).select(key), key, "left_semi").select(*df.columns))
-        models.append(fit(rows, features, make))
+        models.append(fit(rows, features, reseeded(make, seed + b + 1)))
     drawn.unpersist()
     positive.unpersist()
     return BaggedModel(tuple(models))

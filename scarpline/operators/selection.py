@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,14 @@ class _Fitness:
         chosen = [c for c, on in zip(self.features, mask, strict=True) if on]
         if not chosen or self.folds < 2:
             return 1e6
-        try:
-            found = []
-            for f in range(self.folds):
+        found = []
+        for f in range(self.folds):
+            try:
                 model = fit(self.rows.where(F.col("fold") != f), chosen, self.make)
-                found.append(auc(scores(model, self.rows.where(F.col("fold") == f)), "p").first()["auc"])
-            error = 1 - sum(found) / len(found)
-        except Exception:  # a model that can't be fitted to this subset is as bad as can be
-            error = 1.0
-        return error + len(chosen) / 100
+            except IllegalArgumentException:  # the learner refuses this subset: as bad as can be; all other errors end the search
+                return 1.0 + len(chosen) / 100
+            found.append(auc(scores(model, self.rows.where(F.col("fold") == f)), "p").first()["auc"])
+        return 1 - sum(found) / len(found) + len(chosen) / 100
 
     def of(self, masks: Sequence[Mask], threads: int) -> list[float]:
         new = [m for m in dict.fromkeys(masks) if m not in self.known]
@@ -104,6 +104,6 @@ def choose(df: DataFrame, key: str, features: Sequence[str], method: str = "none
     ranking = ranked(df, kept, seed)
     if method == "cart":
         return Selection([c for c, _ in ranking], dropped, ranking)
-    makers = {"rf": factory("rf", seed, trees=50, depth=6), "gbt": factory("gbt", seed, rounds=50), "svm": factory("svm")}
+    makers = {"rf": factory("rf", seed, trees=50, depth=6), "gbt": factory("gbt", seed, rounds=50), "svm": factory("rbf", seed)}
     chosen, fitness = genetic(df, key, kept, makers[model], seed=seed, **options)
     return Selection(chosen, dropped, ranking, fitness)

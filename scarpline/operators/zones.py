@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scarpline.operators.select import exact_quantiles
+from scarpline.operators.select import exact_quantiles, sketch, sketched_quantiles
 from scarpline.sources.tables import ZONES
 
 
@@ -16,6 +16,18 @@ def quantile_edges(df: DataFrame, score: str, q: int = 5) -> DataFrame:
     return exact_quantiles(df, score, [i / q for i in range(q + 1)]).select(F.array_distinct(F.coalesce("quantiles", F.array().cast("array<double>"))).alias("edges"))
 
 
+def score_sketches(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """by and ``sketch``: a mergeable sketch of the scores of each batch, to be kept with it; some 100 kB each."""
+    return df.groupBy(*by).agg(sketch(F.col(score)).alias("sketch"))
+
+
+def sketched_edges(sketches: DataFrame, q: int = 5) -> DataFrame:
+    """One row, ``edges``, from the sketches of any number of batches: near the quantiles of all their scores, which are not read again."""
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    found = sketched_quantiles(F.col("sketch"), [i / q for i in range(q + 1)])
+    return merged.select(F.array_distinct(F.coalesce(found, F.array().cast("array<double>"))).alias("edges"))
+
+
 def zone_of(score: Column, edges: Column) -> Column:
     """The zone from 0: bins are closed on the right, the lowest value is in the first; equal scores make one zone."""
     return F.when(score.isNotNull(), F.greatest(F.size(F.filter(edges, lambda e: e < score)) - 1, F.lit(0)))

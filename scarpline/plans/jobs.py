@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,9 +19,10 @@ from scarpline.operators.select import one_row, threshold_select
 from scarpline.operators.spatial import away_from, buffer_control
 from scarpline.operators.zones import success_auc, zone_capture, zone_distribution, zoned
 from scarpline.sources.tables import Study, complete, dataset_summary, ordered, require_complete, saved, validated
+from scarpline.sources.tiles import Tiles
 
 
-def training_table(points: DataFrame, pixels: DataFrame, meta: DataFrame, registry: DataFrame, fr: DataFrame, study: Study, pool_layer: str) -> DataFrame:
+def training_table(points: DataFrame, pixels: DataFrame | Tiles, meta: DataFrame, registry: DataFrame, fr: DataFrame, study: Study, pool_layer: str) -> DataFrame:
     """Presences (all of which must lie on every layer) and as many pseudo-absences away from them, with their features."""
     present = require_complete(saved(sample_stack(points, "point_id", pixels, meta, registry, fr, study.features)), study.features, "point_id")
     pool = away_from(valid_pixels(pixels, meta, pool_layer, study.pool_stride), points, study.buffer)
@@ -35,7 +37,7 @@ def training_table(points: DataFrame, pixels: DataFrame, meta: DataFrame, regist
     return ordered(present.withColumn("target", F.lit(1)).unionByName(absent.withColumn("target", F.lit(0))), study.features)
 
 
-def prediction_grid(pixels: DataFrame, meta: DataFrame, registry: DataFrame, fr: DataFrame, study: Study, pool_layer: str) -> DataFrame:
+def prediction_grid(pixels: DataFrame | Tiles, meta: DataFrame, registry: DataFrame, fr: DataFrame, study: Study, pool_layer: str) -> DataFrame:
     """x, y and features of every valid lattice pixel of the pool layer that has them all; each layer has its own transform."""
     grid = grid_rows(pixels, registry, fr, study.features, meta, study.grid_stride, pool_layer)
     return ordered(complete(grid, study.features), study.features)
@@ -56,16 +58,18 @@ def scored_grid(grid: DataFrame, model: PipelineModel, q: int = 5, edges: DataFr
     return zoned(scored, "lsi_prob", q, edges=edges)
 
 
-def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str] = ("rf", "lr", "gbt"), method: str = "none", refine: bool = False, block: float | None = None, grid: DataFrame | None = None, run_id: str = "run", options: dict[str, dict] | None = None) -> dict:
+def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str] = ("rf", "lr", "gbt"), method: str = "none", refine: bool = False, block: float | None = None, leave_one_out: int = 0, grid: DataFrame | None = None, run_id: str = "run", options: dict[str, dict] | None = None) -> dict:
     """Check, balance, refine, choose features, cross-validate, fit, report, and score a grid.
 
     A table without negatives gets random ones, and a new key. block: the side of squares that folds with a buffer are dealt
-    by; None leaves these folds out. grid: x, y and features; its scores by the first model are cut into zones.
+    by; None leaves these folds out. leave_one_out: up to so many rows, logistic regression has each row as such a fold instead.
+    grid: x, y and features; its scores by the first model are cut into zones.
 
-    Returns models by name, ``metrics`` (a long table: the run's figures, the chosen features, scores of folds and of the fit),
-    ``roc`` (points of each model on its training rows), ``features``, ``importance``, ``rows``; ``zones`` and ``distribution`` of the grid.
+    Returns models by name, ``metrics`` (a long table for ``write_runs``: the run's figures and how long it took, the chosen features,
+    scores of folds and of the fit), ``roc`` (points of each model by scheme: buffered and kfold of held-out rows, train_fit of its
+    training rows), ``features``, ``importance`` (of each model), ``rows``; ``zones`` and ``distribution`` of the grid.
     """
-    options = options or {}
+    options, began = options or {}, time.monotonic()
     rows = validated(df, study.features)
     if key not in rows.columns:
         raise ValueError(f"Missing columns: {key}")
@@ -78,27 +82,38 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
         rows = pu.refine(rows, key, study.features, models.factory("rf", study.seed, **options.get("rf", {})), study.keep_fraction, bags=study.bags, seed=study.seed)
     rows = saved(rows)
     picked = selection.choose(rows, key, study.features, method, seed=study.seed, **options.get(method, {}))
-    summary = dataset_summary(rows).select("n", "n_pos", "n_neg").withColumns({"features": F.lit(len(study.features)), "folds": F.lit(study.folds), "seed": F.lit(study.seed)})
     chosen = spark.createDataFrame([(c, float(c in picked.chosen)) for c in study.features], "metric string, value double")
     chosen = chosen.select(F.lit(run_id).alias("run_id"), F.lit(method).alias("model"), F.lit("selection").alias("scheme"), F.lit(None).cast("int").alias("fold"), "metric", "value")
-    found = [metrics.long_metrics(summary, run_id, "", "run"), chosen]
+    found = [chosen]
     fitted: dict[str, PipelineModel] = {}
     roc: list[DataFrame] = []
+    weight: list[DataFrame] = []
+    curve = lambda scored, name, scheme: roc.append(metrics.roc_points(scored, "p").select(F.lit(name).alias("model"), F.lit(scheme).alias("scheme"), "threshold", "tpr", "fpr"))
+    small = leave_one_out > 0 and rows.count() <= leave_one_out
     for name in names:
         make, balance = models.factory(name, study.seed, **options.get(name, {})), "positives" if name == "gbt" else "classes"
-        folds = cv.stratified_cv(rows, key, picked.chosen, make, study.folds, study.seed, balance)
+        held = cv.stratified_predictions(rows, key, picked.chosen, make, study.folds, study.seed, balance)
+        folds = cv.fold_aucs(held, study.folds)
         found += [metrics.long_metrics(folds, run_id, name, "kfold", F.col("fold")), metrics.long_metrics(metrics.fold_summary(folds), run_id, name, "kfold")]
+        curve(held, name, "kfold")
         if block is not None:
-            held = cv.buffered_cv(block_folds(rows, block, study.folds), key, picked.chosen, make, study.fold_radius, balance=balance)
+            if name == "lr" and small:
+                held = cv.buffered_logistic(rows.withColumn("fold", F.col(key)), key, picked.chosen, study.fold_radius, options.get("lr", {}).get("c", 1.0))
+            else:
+                held = cv.buffered_cv(block_folds(rows, block, study.folds), key, picked.chosen, make, study.fold_radius, balance=balance)
+            held = saved(held.select(key, "target", "p"))
             found.append(metrics.long_metrics(cv.pooled_auc(held), run_id, name, "buffered"))
+            curve(held, name, "buffered")
         fitted[name] = models.fit(rows, picked.chosen, make, balance)
         seen = saved(models.scores(fitted[name], rows))
         found.append(metrics.long_metrics(metrics.class_metrics(seen, F.col("p") > 0.5).crossJoin(metrics.auc(seen, "p")), run_id, name, "train_fit"))
-        roc.append(metrics.roc_points(seen, "p").withColumn("model", F.lit(name)))
-    first = names[0]
-    importance = models.importances(fitted[first], picked.chosen) if hasattr(fitted[first].stages[-1], "featureImportances") else None
-    out = {"models": fitted, "metrics": reduce(DataFrame.unionByName, found), "roc": reduce(DataFrame.unionByName, roc), "features": picked, "importance": importance, "rows": rows}
+        curve(seen, name, "train_fit")
+        weight.append(models.importances(fitted[name], picked.chosen).withColumn("model", F.lit(name)))
+    figures = {"features": len(study.features), "chosen": len(picked.chosen), "folds": study.folds, "seed": study.seed, "refined": int(refine), "bags": study.bags, "buffer": study.buffer, "outer": study.outer, "fold_radius": study.fold_radius, "block": block, "leave_one_out": int(small), "elapsed": time.monotonic() - began}
+    summary = dataset_summary(rows).select("n", "n_pos", "n_neg").withColumns({n: F.lit(v).cast("double") for n, v in figures.items()})
+    found.insert(0, metrics.long_metrics(summary, run_id, "", "run"))
+    out = {"models": fitted, "metrics": reduce(DataFrame.unionByName, found), "roc": reduce(DataFrame.unionByName, roc), "features": picked, "importance": reduce(DataFrame.unionByName, weight), "rows": rows}
     if grid is not None:
-        out["zones"] = scored_grid(grid, fitted[first], study.zones)
+        out["zones"] = scored_grid(grid, fitted[names[0]], study.zones)
         out["distribution"] = zone_distribution(out["zones"], "lsi_prob")
     return out

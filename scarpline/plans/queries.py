@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scarpline.functions.scalars import reclass_edges, utm, z_score
+from scarpline.functions.scalars import AXIS, EAST, FLATTENING, UTM_SCALE, reclass_edges, utm, z_score
 from scarpline.operators import cv, fr, metrics, models, pixels, pu, sampling, scaling, selection, spatial, zones
 from scarpline.operators.select import bottom_fraction, exact_quantiles
 from scarpline.plans import jobs, views
 from scarpline.plans.views import CLASSES, candidate, labelled, layer_meta, pixel, presence, px, scored
-from scarpline.sources import tables
+from scarpline.sources import tables, tiles
 
 FEATURES = ["f1", "f2", "f3"]
 REGISTRY = "column string, factor string, layer string"
@@ -127,6 +127,14 @@ def sample_stack(spark: SparkSession, d: str) -> DataFrame:
     return tables.complete(stack, ["qty_fr", "tax_fr"]).select("id", "x", "y", F.round("qty_fr", 9).alias("qty_fr"), F.round("tax_fr", 9).alias("tax_fr"))
 
 
+def tiled_stack(spark: SparkSession, d: str) -> DataFrame:
+    """``sample_stack`` from a store of tiles."""
+    registry = spark.createDataFrame([("qty_fr", "qty", "size"), ("tax_fr", "tax", "brand")], REGISTRY)
+    store = tiles.write_tiles(pixel(spark, d), tables.scratch(spark, "tiles"), 4)
+    stack = pixels.sample_stack(labelled(spark, d), "id", store, layer_meta(spark, d), registry, _weights(spark, d), ["qty_fr", "tax_fr"])
+    return tables.complete(stack, ["qty_fr", "tax_fr"]).select("id", "x", "y", F.round("qty_fr", 9).alias("qty_fr"), F.round("tax_fr", 9).alias("tax_fr"))
+
+
 def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
     registry = spark.createDataFrame([("qty_fr", "qty", "size"), ("tax_fr", "tax", "brand")], REGISTRY)
     study = tables.Study(features=("qty_fr", "tax_fr"), grid_stride=2)
@@ -242,6 +250,15 @@ def utm_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+def reprojected_points(spark: SparkSession, d: str) -> DataFrame:
+    """The places of ``utm_projection`` given as degrees, in the neighbouring zone and in zone 46 by turns, all brought to zone 46."""
+    rows = candidate(spark, d).select("id", (92 + F.col("id") % 1000 / 1000).alias("lon"), (23 + F.col("id") % 777 / 777).alias("lat"))
+    systems = [("EPSG:4326", (F.col("lon"), F.col("lat"))), ("EPSG:32645", utm("lon", "lat", 45)), ("EPSG:32646", utm("lon", "lat", 46))]
+    turn = lambda values: F.get(F.array(*values), (F.col("id") % 3).cast("int"))
+    given = rows.select("id", *(turn([at[i] for _, at in systems]).alias(n) for i, n in enumerate("xy")), turn([F.lit(c) for c, _ in systems]).alias("crs"))
+    return tables.reprojected_points(given, "EPSG:32646").select("id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+
+
 def zscore_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d)
     stats = rows.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
@@ -280,6 +297,12 @@ def buffered_cv(spark: SparkSession, d: str) -> DataFrame:
     return cv.buffered_cv(rows, "id", FEATURES, models.factory("lr"), 300.0)
 
 
+def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """Each row by the logistic fit on all rows that are more than 300 m away."""
+    rows = labelled(spark, d).withColumn("fold", F.col("id"))
+    return cv.buffered_logistic(rows, "id", FEATURES, 300.0).select("id", "target", "p")
+
+
 def pu_refine(spark: SparkSession, d: str) -> DataFrame:
     return pu.refine(labelled(spark, d), "id", FEATURES, models.factory("rf", trees=5, depth=4), 0.75, bags=2).select("id", "target")
 
@@ -314,17 +337,18 @@ def presence_only_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ml_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    study = tables.Study(features=tuple(FEATURES), folds=2, fold_radius=300.0)
-    return jobs.susceptibility(labelled(spark, d), "id", study, names=("lr",), block=8000.0)["metrics"]
+    """The whole job on labelled rows: three models, five folds, folds with a buffer (for logistic regression each row), fits and report."""
+    study = tables.Study(features=tuple(FEATURES), fold_radius=300.0)
+    return jobs.susceptibility(labelled(spark, d), "id", study, block=8000.0, leave_one_out=20_000, options=_small())["metrics"]
 
 
 NATIVE: tuple[Query, ...] = (
     fr_table, fr_source_stats, fr_split_counts, quantile_reclass, fr_lookup, lsi_index, lsi_zones, zone_capture, success_auc, check_nulls, check_domain, dataset_summary, target_means, feature_ranges, complete_rows,
-    missing_layers, missing_factors, valid_pixel_pool, sample_layers, sample_stack, prediction_grid, training_table, min_distance, buffer_anti, buffer_ring, buffer_control, distance_pairs, pseudo_absence_topn,
+    missing_layers, missing_factors, valid_pixel_pool, sample_layers, sample_stack, tiled_stack, prediction_grid, training_table, min_distance, buffer_anti, buffer_ring, buffer_control, distance_pairs, pseudo_absence_topn,
     fold_census, buffered_fold_membership, stratified_folds, class_weights, positive_weight, zscore_stats, zscores, pearson_matrix, correlated_features, bag_draws, confusion, class_metrics, auc_exact, roc_points,
-    bottom_k, utm_projection, zscore_grid, random_absences,
+    bottom_k, utm_projection, reprojected_points, zscore_grid, random_absences,
 )
-MODELS: tuple[Query, ...] = (_trained("rf"), _trained("lr"), _trained("gbt"), cart_ranking, kfold_cv, buffered_cv, pu_refine, ga_select, score_grid, ml_pipeline, presence_only, presence_only_rows)
+MODELS: tuple[Query, ...] = (_trained("rf"), _trained("lr"), _trained("gbt"), cart_ranking, kfold_cv, buffered_cv, leave_one_out, pu_refine, ga_select, score_grid, ml_pipeline, presence_only, presence_only_rows)
 
 
 def queries() -> dict[str, Query]:
@@ -344,10 +368,31 @@ _CAP = _LSI + """, cap AS (SELECT zone_id, count(*) AS area, CAST(sum(hit) AS BI
 _D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)"
 _STACK = _FR + """, smp AS (SELECT l.id, l.x, l.y, m.layer, CASE WHEN abs(p.value-m.nodata)<0.001 THEN NULL ELSE p.value END AS v FROM labelled l CROSS JOIN layer_meta m
    LEFT JOIN pixel p ON p.layer=m.layer AND p."row"=CAST(floor((m.y0-l.y)/m.py) AS INT) AND p.col=CAST(floor((l.x-m.x0)/m.px) AS INT))"""
-_FOLDS = ", f AS (SELECT *, CAST((row_number() OVER (PARTITION BY target ORDER BY (id*1103515245+42*12345)%2147483648, id)-1)%5 AS INT) AS fold FROM labelled)"
+
+
+def _hash_sql(key: str, seed: str) -> str:
+    """``portable_hash`` in SQL."""
+    whole, stirred = 1 << 31, "lambda x: xor(x, x >> 16) * 73244475 % 2147483648"
+    low = f"(CAST({key} AS BIGINT) % {whole} + (CAST({key} AS BIGINT) >> 31) % {whole} * 1103515245 + (CAST({key} AS BIGINT) >> 62) * 715225739) % {whole}"
+    return f"list_transform(list_transform(list_transform(list_transform([{low}], {stirred}), lambda x: (x + CAST({seed} AS BIGINT) * 1566083941 % {whole}) % {whole}), {stirred}), {stirred})[1]"
+
+
+_FOLDS = f", f AS (SELECT *, CAST((row_number() OVER (PARTITION BY target ORDER BY {_hash_sql('id', '42')}, id)-1)%5 AS INT) AS fold FROM labelled)"
 _ROC = """, g AS (SELECT score, count(*) FILTER (target=1) AS pos, count(*) FILTER (target=0) AS neg FROM scored GROUP BY 1),
  c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS up_pos, sum(neg) OVER (ORDER BY score DESC) AS up_neg, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g)"""
 
+def _utm_sql(zone: int, places: int = 3) -> str:
+    """Krueger's series in SQL over ``lon`` and ``lat``: a SELECT list of id, x and y."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius, c = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * n**0.5 / (1 + n)
+    alpha = (n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4, 13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4, 61 / 240 * n**3 - 103 / 140 * n**4, 49561 / 161280 * n**4)
+    east = " + ".join(f"({k!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, k in enumerate(alpha, 1))
+    north = " + ".join(f"({k!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, k in enumerate(alpha, 1))
+    return f""", g AS (SELECT id, 92 + id%1000/1000 AS lon, 23 + id%777/777 AS lat FROM candidate), s AS (SELECT id, sin(radians(lat)) AS s, radians(lon - {zone * 6 - 183}) AS dl FROM g),
+     t AS (SELECT id, dl, sinh(atanh(s) - {c!r}*atanh({c!r}*s)) AS t FROM s), e AS (SELECT id, atan2(t, cos(dl)) AS xi, atanh(sin(dl)/sqrt(1+t*t)) AS eta FROM t),
+     u AS (SELECT id, round({EAST} + {UTM_SCALE * radius!r}*(eta + {east}), {places}) AS x, round({UTM_SCALE * radius!r}*(xi + {north}), {places}) AS y FROM e)"""
+
+
 #: Query: the views it uses, common tables after them, and the final SELECT.
 _SQL: dict[str, tuple[str, str, str]] = {
     "fr_table": ("px", _FR, "SELECT factor, class, S_i, CAST(N_i AS BIGINT) AS N_i_all, round(area_pct,9) AS area_pct, round(FR,9) AS FR, round(FR/max(FR) OVER (PARTITION BY factor),9) AS FRn, FR>1 AS FR_gt_1 FROM fr"),
@@ -375,7 +420,7 @@ _SQL: dict[str, tuple[str, str, str]] = {
     "training_table": ("px presence pixel layer_meta", _FR + f""", w AS (SELECT * FROM pixel p JOIN layer_meta m USING (layer) JOIN fr ON fr.factor='qty' AND fr.class=CAST(p.value AS INT) WHERE layer='size' AND value>0 AND value<>m.nodata),
       b AS (SELECT s.x, s.y, w.FR FROM presence s JOIN w ON w."row"=CAST(floor((w.y0-s.y)/w.py) AS INT) AND w.col=CAST(floor((s.x-w.x0)/w.px) AS INT)),
       a AS (SELECT w.x0+(w.col+0.5)*w.px AS x, w.y0-(w."row"+0.5)*w.py AS y, w."row", w.col, w.FR FROM w),
-      f AS (SELECT a.*, row_number() OVER (ORDER BY ((CAST(a."row" AS BIGINT)*100003+a.col)*1103515245+42*12345)%2147483648, a."row", a.col) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_D2} < 490000))""",
+      f AS (SELECT a.*, row_number() OVER (ORDER BY {_hash_sql('(CAST(a."row" AS BIGINT)*100003+a.col)', '42')}, a."row", a.col) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_D2} < 490000))""",
         "SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(FR,9) AS qty_fr, 1 AS target FROM b UNION ALL SELECT CAST(x AS DOUBLE), CAST(y AS DOUBLE), round(FR,9), 0 FROM f WHERE n <= (SELECT count(*) FROM b)"),
     "presence_only_rows": ("presence", ", c AS (SELECT count(*) AS n FROM presence)", "SELECT 1 AS target, n, n AS ids FROM c UNION ALL SELECT 0, CAST(greatest(round_even(0.75*n,0),1) AS BIGINT), CAST(greatest(round_even(0.75*n,0),1) AS BIGINT) FROM c"),
     "min_distance": ("candidate presence", "", f"SELECT a.id, round(sqrt(min({_D2})),6) AS distance FROM candidate a, presence b GROUP BY a.id"),
@@ -383,7 +428,7 @@ _SQL: dict[str, tuple[str, str, str]] = {
     "buffer_ring": ("candidate presence", "", f"SELECT a.* FROM candidate a WHERE NOT EXISTS (SELECT 1 FROM presence b WHERE {_D2} < 250000) AND EXISTS (SELECT 1 FROM presence b WHERE {_D2} <= 4000000)"),
     "buffer_control": ("labelled", "", f"SELECT id, target FROM labelled WHERE target=1 UNION ALL SELECT a.id, a.target FROM labelled a WHERE a.target=0 AND NOT EXISTS (SELECT 1 FROM labelled b WHERE b.target=1 AND {_D2} < 90000) AND EXISTS (SELECT 1 FROM labelled b WHERE b.target=1 AND {_D2} <= 6250000)"),
     "distance_pairs": ("candidate presence", "", f"SELECT b.id, count(*) AS n, min(a.id) AS first FROM candidate a, presence b WHERE {_D2} <= 1000000 GROUP BY b.id"),
-    "pseudo_absence_topn": ("candidate presence", "", f"SELECT *, 1 AS target FROM presence UNION ALL (SELECT a.*, 0 FROM candidate a WHERE NOT EXISTS (SELECT 1 FROM presence b WHERE {_D2} < 250000) ORDER BY (a.id*1103515245+42*12345)%2147483648, a.id LIMIT 1000)"),
+    "pseudo_absence_topn": ("candidate presence", "", f"SELECT *, 1 AS target FROM presence UNION ALL (SELECT a.*, 0 FROM candidate a WHERE NOT EXISTS (SELECT 1 FROM presence b WHERE {_D2} < 250000) ORDER BY {_hash_sql('a.id', '42')}, a.id LIMIT 1000)"),
     "fold_census": ("labelled", f", n AS (SELECT a.id, count(*) AS n_excluded, sum(b.target) AS p FROM labelled a JOIN labelled b ON {_D2} <= 4000000 GROUP BY a.id), t AS (SELECT count(*) AS n, sum(target) AS p FROM labelled)", "SELECT id, n_excluded, t.n-n_excluded AS n_train, CAST(t.p-n.p AS BIGINT) AS n_train_pos, t.p-n.p BETWEEN 1 AND t.n-n_excluded-1 AS usable FROM n, t"),
     "buffered_fold_membership": ("labelled", _FOLDS + f", o AS (SELECT DISTINCT b.id, a.fold FROM f a JOIN f b ON {_D2} <= 90000), oc AS (SELECT fold, count(*) AS c FROM o GROUP BY 1)", "SELECT f.fold, count(*) AS n_test, (SELECT count(*) FROM f)-any_value(oc.c) AS n_train FROM f JOIN oc USING (fold) GROUP BY f.fold"),
     "stratified_folds": ("labelled", _FOLDS, "SELECT id, target, fold FROM f"),
@@ -393,12 +438,14 @@ _SQL: dict[str, tuple[str, str, str]] = {
     "zscores": ("labelled", ", s AS (SELECT avg(f1) a1, stddev_pop(f1) s1, avg(f2) a2, stddev_pop(f2) s2 FROM labelled)", "SELECT id, round((f1-a1)/s1,6) AS f1, round((f2-a2)/s2,6) AS f2, CAST(0 AS DOUBLE) AS f3 FROM labelled, s"),
     "pearson_matrix": ("labelled", "", "SELECT 'f1' AS a, 'f2' AS b, round(covar_pop(f1,f2)/(stddev_pop(f1)*stddev_pop(f2)),9) AS r FROM labelled UNION ALL SELECT 'f1','f3',0.0 FROM (SELECT 1) UNION ALL SELECT 'f2','f3',0.0 FROM (SELECT 1)"),
     "correlated_features": ("labelled", ", k AS (SELECT abs(corr(f1, 2*f1+f2))>=0.85 AS d FROM labelled)", "SELECT unnest(['f1','f2','f3']) AS feature, true AS kept UNION ALL SELECT 'f4', NOT d FROM k"),
-    "bag_draws": ("labelled", ", r AS (SELECT CAST(b AS INT) AS bag, id, row_number() OVER (PARTITION BY b ORDER BY (id*1103515245+(43+b)*12345)%2147483648, id) AS n FROM labelled, range(5) t(b) WHERE target=0), p AS (SELECT count(*) FILTER (target=1) AS k FROM labelled)", "SELECT bag, id FROM r, p WHERE n<=k"),
+    "bag_draws": ("labelled", f", r AS (SELECT CAST(b AS INT) AS bag, id, row_number() OVER (PARTITION BY b ORDER BY {_hash_sql('id', '(43+b)')}, id) AS n FROM labelled, range(5) t(b) WHERE target=0), p AS (SELECT count(*) FILTER (target=1) AS k FROM labelled)", "SELECT bag, id FROM r, p WHERE n<=k"),
     "confusion": ("scored", "", "SELECT count(*) FILTER (target=0 AND score<25) AS tn, count(*) FILTER (target=0 AND score>=25) AS fp, count(*) FILTER (target=1 AND score<25) AS fn, count(*) FILTER (target=1 AND score>=25) AS tp FROM scored"),
     "class_metrics": ("scored", ", c AS (SELECT count(*) AS n, count(*) FILTER (target=0 AND score>=25) AS fp, count(*) FILTER (target=1 AND score<25) AS fn, count(*) FILTER (target=1 AND score>=25) AS tp FROM scored)", "SELECT round((n-fp-fn)/n,9) AS accuracy, round(tp/(tp+fp),9) AS precision, round(tp/(tp+fn),9) AS recall, round(2*tp/(2*tp+fp+fn),9) AS f1 FROM c"),
     "auc_exact": ("scored", _ROC, "SELECT round(sum(neg*(up_pos-pos)+neg*pos/2.0)/any_value(P*N),9) AS auc FROM c"),
     "roc_points": ("scored", _ROC, "SELECT score AS threshold, round(up_pos/P,9) AS tpr, round(up_neg/N,9) AS fpr FROM c"),
     "bottom_k": ("scored", ", k AS (SELECT CAST(round_even(0.75*count(*),0) AS BIGINT) AS k FROM scored), r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS n FROM scored)", "SELECT id, score FROM r, k WHERE n<=k"),
+    "utm_projection": ("candidate", _utm_sql(46), "SELECT id, x, y FROM u"),
+    "reprojected_points": ("candidate", _utm_sql(46, 1), "SELECT id, x, y FROM u"),
     "zscore_grid": ("scored", ", s AS (SELECT avg(score) AS m, stddev_pop(score) AS s FROM scored)", "SELECT id, round((score-m)/s,6) AS z FROM scored, s"),
 }
 
@@ -408,4 +455,5 @@ def oracle_sql() -> dict[str, str]:
     for name, (used, more, select) in _SQL.items():
         ctes = ", ".join(f"{v} AS ({views.SQL[v]})" for v in used.split())
         out[name] = f"WITH {ctes}{more} {select}"
+    out["tiled_stack"] = out["sample_stack"]
     return out

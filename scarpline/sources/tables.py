@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from scarpline.functions.scalars import missing
+from scarpline.functions.scalars import known_system, missing, reprojected
 
 #: The factors of the study, in order. Columns are named <factor>_fr.
 FACTORS = ("rainfall", "earthquake", "slope", "elevation", "distance_drainage", "tri", "geomorphology", "geology", "soil", "gravity_anomaly", "distance_faults", "sti", "twi", "spi", "distance_roads", "lulc", "ndvi")
@@ -27,6 +28,7 @@ class Study:
     features: tuple[str, ...] = FEATURES
     x: tuple[float, float] = (520_000.0, 545_000.0)
     y: tuple[float, float] = (2_580_000.0, 2_610_000.0)
+    crs: str = "EPSG:32646"
     buffer: float = 500.0
     outer: float | None = None
     fold_radius: float = 1000.0
@@ -67,12 +69,24 @@ def scan(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(whole).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def scan_points(spark: SparkSession, path: str) -> DataFrame:
-    """point_id, x, y in the study's coordinates; a table that names no reference system is refused."""
+def scan_points(spark: SparkSession, path: str, crs: str = "EPSG:32646") -> DataFrame:
+    """point_id, x, y (and more columns) in the study's system; each row is reprojected from the one that its ``crs`` names.
+
+    Systems are WGS84 degrees and its UTM zones. A table that names none, and rows with a null or unknown one, are refused.
+    """
     points = require_columns(spark.read.parquet(path), ["point_id", "x", "y"])
     if "crs" not in points.columns:
         raise ValueError("The points have no coordinate reference system")
-    return points
+    return reprojected_points(points, crs)
+
+
+def reprojected_points(points: DataFrame, crs: str) -> DataFrame:
+    """The same points with x and y in the system ``crs``, and that as their ``crs``."""
+    unknown = [r["crs"] for r in points.where(~known_system("crs")).select("crs").distinct().limit(5).collect()]
+    if unknown or not re.fullmatch(r"EPSG:(4326|32[67](0[1-9]|[1-5]\d|60))", crs):
+        raise ValueError(f"Unknown reference systems: {unknown or [crs]}")
+    x, y = reprojected("x", "y", "crs", crs)
+    return points.withColumns({"x": x, "y": y, "crs": F.lit(crs)})
 
 
 def scan_fr(spark: SparkSession, path: str) -> DataFrame:
@@ -166,18 +180,27 @@ def write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     out.option("header", True).csv(path) if path.endswith(".csv") else out.parquet(path)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet into the shared folder of ``spark.checkpoint.dir`` and read them back: cuts lineage, survives lost executors.
+def write_runs(df: DataFrame, path: str) -> None:
+    """Add the rows of runs (``run_id``) to a table of reports, as Parquet; a run that is there already is replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
-    A local session without such a folder (tests) gets a temporary one; a cluster without it is refused.
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new folder name for intermediate tables and files below ``spark.checkpoint.dir``, which all executors share.
+
+    Only where a local session has no such setting (tests) is a temporary folder of this machine used; a cluster without it is refused.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows as Parquet into shared scratch space and read them back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

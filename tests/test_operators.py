@@ -28,10 +28,10 @@ def test_buffers_keep_what_is_on_the_edge(spark):
     assert values(spatial.ring(many, one, 500.0, 2000.0), "id") == [(1,), (3,), (4,)]
 
 
-@pytest.mark.parametrize("radius", [100.0, None])
-def test_min_distance(spark, radius):
+@pytest.mark.parametrize("leaf", [1, 16])
+def test_min_distance(spark, leaf):
     reference = points(spark, [(1, 0.0, 0.0), (2, 5000.0, 0.0), (3, None, 7.0)])
-    found = spatial.min_distance(points(spark, [(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 9000.0, 0.0), (4, None, 3.0), (5, 1.0, None)]), reference, "id", first_radius=radius)
+    found = spatial.min_distance(points(spark, [(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 9000.0, 0.0), (4, None, 3.0), (5, 1.0, None)]), reference, "id", leaf=leaf)
     assert [(r.id, r.distance) for r in found.orderBy("id").collect()] == [(1, 0.0), (2, 5.0), (3, 4000.0), (4, None), (5, None)]
     assert values(spatial.min_distance(reference.dropna(), reference.limit(0), "id"), "distance") == [(math.inf,), (math.inf,)]
 
@@ -166,7 +166,11 @@ def test_whole_jobs(spark, tmp_path):
     grid = rows.select("x", "y", "a", "b")
     job = jobs.susceptibility(rows, "id", study, names=("lr",), method="cart", refine=True, block=800.0, grid=grid, options={"lr": {"rounds": 10}, "rf": {"trees": 3, "depth": 3}})
     assert values(job["rows"].groupBy("target").count()) == [(0, 20), (1, 40)]
-    assert {r.scheme for r in job["metrics"].collect()} == {"run", "selection", "kfold", "buffered", "train_fit"} and job["roc"].count() > 1
+    assert {r.scheme for r in job["metrics"].collect()} == {"run", "selection", "kfold", "buffered", "train_fit"}
+    assert {(r.model, r.scheme) for r in job["roc"].collect()} == {("lr", s) for s in ("kfold", "buffered", "train_fit")}
+    figures = {r.metric: r.value for r in job["metrics"].where("scheme = 'run'").collect()}
+    assert figures["refined"] == 1 and figures["buffer"] == 50 and figures["fold_radius"] == 20 and figures["elapsed"] > 0
+    assert values(job["importance"], "model", "feature") == [("lr", "a"), ("lr", "b")]
     assert job["zones"].count() == 40 and job["distribution"].agg(F.sum("n")).first()[0] == 40
     assert selection.choose(rows, "id", ["a", "b"]).chosen == ["a", "b"]
     with pytest.raises(ValueError, match="method"):
