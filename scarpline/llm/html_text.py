@@ -9,7 +9,7 @@ A line that the pair shares is the host's template and is deleted, with these ex
 * a pair of which one has no line that the other lacks are copies, and say nothing about the template;
 * menus, headers outside the article, footers, sidebars, forms, adverts, notices and comments differ from page to page on
   some hosts; elements of these kinds, known by tag, role, a whole class or a whole id, are deleted whether shared or not,
-  unless they hold an article or main element; headings within an article are never told by class or id. If a page's
+  unless they hold an article or main element (asides, navigation, comments and parts of an article go even then); headings within an article are never told by class or id. If a page's
   articles have at least as much text as the lines outside them that differencing keeps, those lines are deleted too.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by a line feed.
@@ -52,6 +52,9 @@ IDS_WITHIN = {"comments", "disqus_thread", "respond"}
 IDS = IDS_WITHIN | {"ads", "breadcrumbs", "cookie-banner", "cookie-consent", "cookie-notice", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "sidebar", "site-footer", "site-header"}
 #: Classes of an article element that is a reader's comment.
 COMMENT = {"comment", "comment-body"}
+#: Names of readers' comments, which never hold the article; so do these elements.
+COMMENTS = {n for n in NAMES if "comment" in n} | {"disqus", "reply", "replies", "respond"} | IDS_WITHIN
+FIRM = {"aside", "nav"}
 #: Elements that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
@@ -59,23 +62,24 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _apart(tag: str, attributes: str, inside_own: bool) -> bool:
-    """Whether an element never holds main text, unless it holds an article or main element."""
+def _apart(tag: str, attributes: str, inside_own: bool) -> int:
+    """0 for an element that may hold main text, 1 for one that never does unless it holds an article or main element, 2 for one that never does."""
+    firm = 2 if tag in FIRM or inside_own else 1  # what lies within an article is no frame around another one
     if tag in APART or tag == "header" and not inside_own:
-        return True
+        return firm
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     for m in _ATTRIBUTE.finditer(attributes):  # names within values are part of the values
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
+            return firm
         if tag in HEADINGS and inside_own:
             continue
-        if key == "class" and not (COMMENT if tag in OWN else NAMES).isdisjoint(value.split()):
-            return True
+        if key == "class" and (found := (COMMENT if tag in OWN else NAMES).intersection(value.split())):
+            return firm if found.isdisjoint(COMMENTS) else 2
         if key == "id" and tag not in OWN and value.strip() in (IDS_WITHIN if inside_own else IDS):
-            return True
-    return False
+            return 2 if value.strip() in COMMENTS else firm
+    return 0
 
 
 def lines(html: str) -> tuple[list[str], list[int]]:
@@ -86,6 +90,7 @@ def lines(html: str) -> tuple[list[str], list[int]]:
     stack: list[tuple[str, tuple[int, bool]]] = []  # open elements that matter, and the same of the text in them
     around: dict[int, int] = {}  # the element apart around each such element
     kept = {-1}  # elements that would be apart but hold an article or main, so that those around them do too
+    firm: set[int] = set()  # elements apart whatever they hold
     none = (-1, False)
     now, at, end = none, 0, len(html)
 
@@ -139,9 +144,14 @@ def lines(html: str) -> tuple[list[str], list[int]]:
             outer = now[0]
             if apart:
                 around[at] = outer
-            while tag in OWN and not apart and outer not in kept:
-                kept.add(outer)
+                if apart == 2:
+                    firm.add(at)
+            frames = []
+            while outer not in kept:
+                frames.append(outer)
                 outer = around[outer]
+            if tag in OWN and not apart and firm.isdisjoint(frames):
+                kept.update(frames)
             now = at if apart else now[0], now[1] or tag in OWN and not apart
             stack.append((tag, now))
     close()

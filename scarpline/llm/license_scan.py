@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-A notice is a window of a text's words that differs from a template in missing and extra words that are at most ``share``
-of the template's words. Windows run over line ends. Each template is looked for at all places that hold one of its cues
-(so many of its longest words that a notice can't miss all of them), and aligned word by word there. Of windows of one
-template that overlap, the one with the fewest differences is the finding; a finding that lies within another template's
-is dropped if that one has fewer differences, or as many in more words. All others are reported, so equal notices are findings
-each, and a window that two templates fit equally well has both. A finding's reduction is how much smaller the window is when it is compressed with the
-template as a zstandard raw dictionary than by itself; its rank is the template's place among all templates by that
-reduction (1: the best, equal ones share a place), so wording and compression can be held against each other.
+Texts with a cue word are cut into candidate blocks: the words around a cue, as many as a template has, if enough of the template's words are
+there. Each block is compressed by itself and with each template as a zstandard raw dictionary, and the templates are ranked by how much smaller
+that makes it. The FEW best ones, and others within MARGIN of the best, are the winners, and only they are confirmed.
+
+A winner is confirmed by exact wording: a window of the block's words that lacks, or adds, no more words than the template allows. That is
+``share`` of its words, and one word in any case of four words or more; words that tell licenses apart (all but the fixed FILLERS) may not
+be missing from a template of fewer than SHORT words. Windows run over line ends. Of windows of one template that overlap, the one with the fewest
+differences is the finding; a finding that lies within another template's is dropped if that one has fewer differences, or as many in more
+words. All others are reported, so equal notices are findings each, and a window that two templates fit equally well has both. A finding's
+reduction and rank are those of its window.
 
 Texts are compared in lower case, words without punctuation around them. Null and empty texts have no findings. Repeated
 rows give equal results. Texts of any length are scanned as wholes. Empty tables give empty tables; columns other than
@@ -38,6 +40,16 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "GPL-3.0-notice": "Licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "Licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
+    "MIT-SPDX": "SPDX-License-Identifier: MIT",
+    "Apache-2.0-SPDX": "SPDX-License-Identifier: Apache-2.0",
+    "GPL-3.0-SPDX": "SPDX-License-Identifier: GPL-3.0-or-later",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -76,21 +88,32 @@ TEMPLATES = {
         this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+#: Words that notices of one license have or lack.
+FILLERS = {"a", "all", "and", "are", "at", "be", "by", "distributed", "for", "in", "is", "it", "licensed", "made", "of", "or", "project", "provided", "published", "released", "software", "terms", "the", "this", "to", "under", "version", "with", "work"}
+#: Templates with fewer words than this keep all words that tell.
+SHORT = 20
+#: How many templates are confirmed for a block at least, and how much larger than the best one's the block may be with others.
+FEW, MARGIN = 3, 0.1
 _WORD = re.compile(r"\w(?:[\w.\-]*\w)?")
 FINDING = StructType([StructField("license", StringType()), StructField("line", IntegerType()), StructField("reduction", DoubleType()), StructField("missing", ArrayType(StringType())), StructField("extra", ArrayType(StringType())), StructField("rank", IntegerType())])
 
 
 def _allowed(words: list[str], share: float) -> int:
     """So many words may be missing or extra; one of the template has to be there."""
-    return min(int(share * len(words)), len(words) - 1)
+    return min(max(int(share * len(words)), int(len(words) >= 4)), len(words) - 1)
+
+
+def telling(words: list[str]) -> list[str]:
+    """The words that a short template can't do without."""
+    return [w for w in words if w not in FILLERS] if len(words) < SHORT else []
 
 
 def _cues(templates: dict[str, str], share: float) -> dict[str, list[str]]:
-    """For each template one word more than may be missing, the longest ones."""
+    """For each template its longest telling word, or one word more than may be missing, the longest ones."""
     words = {k: _WORD.findall(t.lower()) for k, t in templates.items()}
     if bare := sorted(k for k, w in words.items() if not w):
         raise ValueError(f"Templates without words: {', '.join(bare)}")
-    return {k: sorted(w, key=len, reverse=True)[: _allowed(w, share) + 1] for k, w in words.items()}
+    return {k: sorted(t, key=len)[-1:] if (t := telling(w)) else sorted(w, key=len, reverse=True)[: _allowed(w, share) + 1] for k, w in words.items()}
 
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
@@ -136,6 +159,7 @@ class Scanner:
         cues = _cues(templates, share)
         self.number = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}))}
         self.ids = {k: [self.number[w] for w in x] for k, x in self.words.items()}
+        self.must = {k: {self.number[w] for w in telling(x)} for k, x in self.words.items()}
         self.cued: dict[int, list[str]] = {}  # templates by cue
         for k, x in cues.items():
             for w in set(x):
@@ -161,6 +185,20 @@ class Scanner:
                     found.append([s, e])
         return out
 
+    def _packed(self, low: str, places: array, s: int, e: int) -> tuple[dict[str, int], bytes]:
+        """The size of some words of a text when they are compressed with each template, and the words themselves."""
+        raw = low[places[s] : _WORD.match(low, places[e - 1]).end()].encode("utf-8", "surrogatepass")
+        return {t: len(c.compress(raw)) for t, c in self.given.items()}, raw
+
+    def _wins(self, k: str, low: str, places: array, s: int, e: int) -> bool:
+        """Whether a template is among the best of a candidate block: cut into pieces of its own length, if several cues made the block longer."""
+        step = len(self.ids[k]) + self.allowed[k]
+        for at in range(s, e, step):
+            packed, _ = self._packed(low, places, at, min(e, at + 2 * step))
+            if packed[k] <= max(sorted(packed.values())[: FEW][-1], (1 + MARGIN) * min(packed.values())):
+                return True
+        return False
+
     def text(self, text: str) -> list[tuple]:
         """license, line of the first word, reduction, missing and extra words, and rank of each finding, by place."""
         low = text.lower()
@@ -170,7 +208,7 @@ class Scanner:
         for m in _WORD.finditer(low):
             ids.append(self.number.get(m[0], -1))
             places.append(m.start())
-        near = {k: [w for s, e in r for w in windows(self.ids[k], ids, self.allowed[k], s, e)] for k, r in self._ranges(ids).items()}
+        near = {k: [w for s, e in r if self._wins(k, low, places, s, e) for w in windows(self.ids[k], ids, self.allowed[k], s, e) if self.must[k] <= set(ids[w[1] : w[2]])] for k, r in self._ranges(ids).items()}
         kept = []
         for k, found in near.items():
             for off, s, e in found:
@@ -180,12 +218,10 @@ class Scanner:
         out, line, before = [], 0, 0
         for s, e, k in sorted(kept):
             line, before = line + low.count("\n", before, places[s]), places[s]
-            window = low[places[s] : _WORD.match(low, places[e - 1]).end()]
-            raw = window.encode("utf-8", "surrogatepass")
-            packed = {t: len(c.compress(raw)) for t, c in self.given.items()}
+            packed, raw = self._packed(low, places, s, e)
             rank = 1 + sum(n < packed[k] for n in packed.values())
             reduction = 1 - packed[k] / len(self.alone.compress(raw))
-            out.append((k, line, reduction, *differences(self.words[k], _WORD.findall(window)), rank))
+            out.append((k, line, reduction, *differences(self.words[k], _WORD.findall(raw.decode("utf-8", "surrogatepass"))), rank))
         return out
 
 

@@ -12,8 +12,8 @@ no document fits any more; then the smallest document that is too large is taken
 the error is at most half of the smallest document that was left out, or a thousandth of the target.
 
 u is a hash of id and seed: reruns agree, whatever the partitions. Null texts have size 0, are ranked as others and add
-no words. Documents of any length are whole. Documents with a null source are a source of their own, the last. Repeated rows
-share u and are told apart by their position among their equals, so each is taken or not by itself. A preference that is
+no words. Documents of any length are whole. Documents with a null source are a source of their own, the last. Rows that share id,
+source and size are told apart by their place in the order of a hash of all their columns, so each is taken or not by itself. A preference that is
 null or not above 0 comes last. Empty tables give empty tables. Input columns that clash with those added are replaced.
 
 Sources are counted on the driver: their number, unlike that of documents, is small (a few numbers for each, and one for
@@ -23,6 +23,7 @@ of the order, whose word totals tell which ranges are taken whole; only the rang
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,7 +97,10 @@ KEY = ["source", "key", "size", "nth"]
 def _keyed(rows: DataFrame, doc_id: str, source: str, size: Column, preference: Column | None) -> DataFrame:
     """Add columns, none of them null, that tell all rows apart: key, size, nth (among rows equal in the others) and _source."""
     named = rows.withColumns({"_source": F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")), "_key": F.xxhash64(F.col(doc_id).isNull(), doc_id), "_size": size.cast("long"), "_preference": F.lit(1.0) if preference is None else preference.cast("double")})
-    return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_key", "_size").orderBy(doc_id, "_preference")))
+    # Rows that share id, source and size are numbered by their content, so that reruns number them alike; rows equal in all are interchangeable.
+    hashed = [f.name for f in rows.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    whole = F.xxhash64(*hashed, *(F.col(c).isNull() for c in hashed))
+    return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_key", "_size").orderBy(doc_id, "_preference", whole)))
 
 
 def mix(docs: DataFrame, size: Column, *, doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, preference: Column | None = None, seed: int = 7) -> DataFrame:
