@@ -7,8 +7,8 @@
 5. token output: ids of the mix in rANS-coded files; the rows say where each document starts.
 
 Null and empty texts are too short for the first stage and go there; the second stage, by itself, keeps them, as they are
-copies of nothing. Rows are documents of their own even if they share an id: a text goes only if it is a near copy of one
-that stays. A null id comes after all others in the choice. Repeated rows (equal id and text) count as copies of one
+copies of nothing. Rows are documents of their own even if they share an id. Of each group that links of near copies hold together
+one row stays, so at a group's ends a text may go that is a near copy only of others that go. A null id comes after all others in the choice. Repeated rows (equal id and text) count as copies of one
 document. Texts may have any length. Extra columns are carried along to the last stage. An empty table gives an empty result.
 """
 
