@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scarpline.functions.scalars import AXIS, EAST, FLATTENING, UTM_SCALE, reclass_edges, utm, z_score
+from scarpline.functions.scalars import AXIS, EAST, FLATTENING, UTM_SCALE, portable_hash, reclass_edges, utm, z_score
 from scarpline.operators import cv, fr, metrics, models, pixels, pu, sampling, scaling, selection, spatial, zones
 from scarpline.operators.select import bottom_fraction, exact_quantiles
 from scarpline.plans import jobs, views
-from scarpline.plans.views import CLASSES, candidate, labelled, layer_meta, pixel, presence, px, scored
+from scarpline.plans.views import CLASSES, candidate, labelled, layer_meta, pixel, presence, px, read, scored
 from scarpline.sources import tables, tiles
 
 FEATURES = ["f1", "f2", "f3"]
@@ -308,7 +308,12 @@ def pu_refine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ga_select(spark: SparkSession, d: str) -> DataFrame:
-    chosen = selection.choose(labelled(spark, d), "id", FEATURES, "ga", model="rf")
+    """Seven features, of which a ring in the plane of the first two decides; the search has its defaults, with kernel machines."""
+    k = F.col("c_custkey")
+    unit = lambda i: portable_hash(k, i) / float(1 << 31) * 2 - 1
+    rows = read(spark, d, "customer").select(k.alias("id"), unit(1).alias("f1"), unit(2).alias("f2"), unit(3).alias("f3"), F.col("c_acctbal").cast("double").alias("f4"), F.col("c_nationkey").cast("double").alias("f5"), unit(6).alias("f6"), F.length("c_mktsegment").cast("double").alias("f7"))
+    rows = rows.withColumn("target", (F.col("f1") * F.col("f1") + F.col("f2") * F.col("f2") < 0.6).cast("int"))
+    chosen = selection.choose(tables.saved(rows), "id", [f"f{i}" for i in range(1, 8)], "ga", model="svm")
     return spark.createDataFrame([(c, chosen.fitness) for c in chosen.chosen], "feature string, fitness double")
 
 

@@ -194,9 +194,22 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _local[spark.sparkContext.applicationId] = root
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+_local: dict[str, str] = {}  # temporary folders of local sessions without a setting
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables and files that this session has made so far, and tell how many. Results read from them must have been written before."""
+    hadoop, paths = spark.sparkContext._jvm.org.apache.hadoop.fs, _made.pop(spark.sparkContext.applicationId, [])
+    gone = [hadoop.Path(p) for p in paths]
+    return sum(bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)) for p in gone)
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:

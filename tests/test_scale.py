@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -198,6 +199,28 @@ def test_kernel_machine_tells_a_circle_from_a_ring(spark, tmp_path):
     assert score(models.load(f"file://{tmp_path}/m")) == pytest.approx(score(kernel))
 
 
+def test_search_by_kernels_finds_the_ring(spark):
+    dice = random.Random(14)
+    data = [(i, *(dice.uniform(-1, 1) for _ in range(7))) for i in range(900)]
+    rows = spark.createDataFrame([(*r, int(r[2] ** 2 + r[5] ** 2 < 0.6)) for r in data], "id long, a double, b double, c double, d double, e double, f double, g double, target int").cache()
+    found = selection.choose(rows, "id", list("abcdefg"), "ga", model="svm", population=12, generations=8)
+    assert {"b", "e"} <= set(found.chosen) and len(found.chosen) <= 3 and found.fitness < 0.1
+    few = selection._KernelFitness(rows, "id", list("abcdefg"), 3, 1, sample=90)
+    assert len(few.table.value[1]) in (90, 91) and few.of([(False,) * 7], 1) == [1e6]
+    one = selection._KernelFitness(rows.where("target = 1"), "id", list("ab"), 3, 1)
+    assert one.of([(True, True)], 1) == [1e6]
+    score, y = np.array([0.1, 0.4, 0.4, 0.9]), np.array([0, 0, 1, 1])
+    assert selection._auc_of(score, y) == pytest.approx(0.875)
+
+
+def test_scratch_is_cleared(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_made", {})
+    rows = tables.saved(spark.range(3))
+    [path] = [p for ps in tables._made.values() for p in ps]
+    folder = Path(path.removeprefix("file://"))
+    assert rows.count() == 3 and folder.exists() and tables.clear_scratch(spark) == 1 and not folder.exists() and tables.clear_scratch(spark) == 0
+
+
 def test_broken_search_fails(spark, monkeypatch):
     rows = spark.createDataFrame([(i, float(i % 5), float(i % 3), i % 2) for i in range(60)], "id long, a double, b double, target int")
     monkeypatch.setattr(selection, "scores", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
