@@ -23,6 +23,8 @@ import bisect
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -227,7 +229,8 @@ class Scanner:
 
 def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, share: float = 0.1) -> DataFrame:
     """Every row with ``findings``: license, line, reduction, and the words that are missing and extra."""
-    cues = sorted({w for x in _cues(templates, share).values() for w in x})
+    every = {w for x in _cues(templates, share).values() for w in x}
+    cues = sorted(w for w in every if not any(v != w and v in w for v in every))  # a word that holds another cue is found with it
 
     @F.pandas_udf(ArrayType(FINDING))
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -237,5 +240,6 @@ def scan(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEM
             yield pd.Series([[dict(zip(names, f, strict=True)) for f in scanner.text(t)] if t else [] for t in batch])
 
     # Texts without a cue are told apart before anything is sent to Python.
-    cue = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("|".join(re.escape(c) for c in cues) or "(?!)")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    cue = reduce(or_, [low.contains(c) for c in cues], F.lit(False))
     return docs.drop("findings").withColumn("findings", found(F.when(cue, F.col(text))))
