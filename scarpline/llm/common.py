@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,40 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 6_000_000, column: int
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Jobs that are run inside hand so many rows at a time to Python: large rows make large batches, in the executor and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def release_memory() -> None:
+    """Give memory that this worker has freed back to the machine, as Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that ends with ``release_memory``."""
+
+    @wraps(run)
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts after each other, and where each text's begin (one number more than texts).
 

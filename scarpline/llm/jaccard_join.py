@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, saved, slices, word_hashes
+from .common import gram_hashes, rows_per_batch, saved, slices, trimmed, word_hashes
 
 #: Stands for the document of an n-gram that several documents of a block have.
 SEVERAL = 0xFFFF
@@ -51,18 +50,6 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(grams[a : b - n + 1]) if b - a >= n else gram_hashes(words[a:b], b - a) if b > a else words[:0] for a, b in ends]
 
 
-@contextmanager
-def _rows_per_batch(spark: SparkSession, rows: int):
-    """Blocks are large rows: hand few at a time to Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 _INCIDENCE = "batch long, range int, docs array<long>, keys array<long>, sizes array<long>, sets array<long>, idx binary, hash binary, count binary"
 _KINDS = [pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3]
 _NAMES = [c.split()[0] for c in _INCIDENCE.split(", ")]
@@ -130,7 +117,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, n: int, ranges: int, block:
             yield from flush()
 
     content = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(content), content).mapInArrow(run, _INCIDENCE)
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(content), content).mapInArrow(trimmed(run), _INCIDENCE)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +211,11 @@ def reduced_sets(docs: DataFrame, *, doc_id: str, text: str, n: int, percent: in
     amount = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     ranges = max(1, -(-amount // range_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with _rows_per_batch(spark, 48):
+    with rows_per_batch(spark, 48):
         blocks = _blocks(docs, doc_id, text, n, ranges, block)
-        counted = blocks.repartitionById(min(ranges, tasks), F.col("range") % min(ranges, tasks)).sortWithinPartitions("range").mapInArrow(_counted, _INCIDENCE)
+        counted = blocks.repartitionById(min(ranges, tasks), F.col("range") % min(ranges, tasks)).sortWithinPartitions("range").mapInArrow(trimmed(_counted), _INCIDENCE)
         back = counted.repartition(parts, "batch").sortWithinPartitions("batch", F.col("docs").isNull())
-        return saved(back.mapInArrow(lambda b: _reduced(b, percent), _REDUCED), "sets")
+        return saved(back.mapInArrow(trimmed(lambda b: _reduced(b, percent)), _REDUCED), "sets")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import saved
+from .common import release_memory, saved
 
 #: What is counted in a text.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits"]
@@ -66,8 +66,11 @@ def _counts(text: str) -> tuple[int, ...]:
 
 @F.pandas_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def _count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        yield pd.DataFrame([_counts(t or "") for t in batch], columns=COUNTS, dtype="int64")
+    try:
+        for batch in texts:
+            yield pd.DataFrame([_counts(t or "") for t in batch], columns=COUNTS, dtype="int64")
+    finally:
+        release_memory()
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:

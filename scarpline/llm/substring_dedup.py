@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton, spans
-from .common import gram_hashes, saved, scratch, slices, word_hashes
-from .jaccard_join import SEVERAL, _rows_per_batch, runs
+from .common import gram_hashes, rows_per_batch, saved, scratch, slices, word_hashes
+from .jaccard_join import SEVERAL, runs
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def anchors(docs: DataFrame, least: int, k: int, hot: int, *, block: int = 500_0
     amount = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-amount // range_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with _rows_per_batch(spark, 48):
+    with rows_per_batch(spark, 48):
         blocks = _blocks(docs, least, k, ranges, block)
         found = blocks.repartitionById(min(ranges, tasks), F.col("range") % min(ranges, tasks)).sortWithinPartitions("range").mapInArrow(lambda b: _shared(b, hot), _BLOCK)
         back = found.repartition(parts, "batch").sortWithinPartitions("batch", F.col("docs").isNull())

@@ -19,7 +19,6 @@ them. Columns other than those named are ignored, so clashing names do no harm.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections import deque
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import rans
-from .common import saved
+from .common import rows_per_batch, saved, slices, trimmed
 
 #: ASCII marks; behind letters they are tokens of their own. The apostrophe is not one of them, as it can begin one together with letters.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -165,6 +164,9 @@ def _suffixes(whole: pa.Array, stems: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(whole), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(raw)])
 
 
+#: Rows that are handed to Python at a time.
+DOCUMENTS_PER_BATCH = 1000
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -174,24 +176,19 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 16_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, ids (binary, little-endian numbers of the vocabulary's width), n_tokens; tokenizer: a file's path, there on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         width = np.dtype(t.kind).itemsize
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            cuts = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64)) // batch_bytes, prepend=0))
-            for first, last in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
-                if first == last:
-                    continue
-                ids, sizes = t.encode(texts.slice(first, last - first), end_id)
-                offsets = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), raw, pa.array(sizes)], ["doc_id", "ids", "n_tokens"])
+        for batch in slices(batches, batch_bytes):
+            ids, sizes = t.encode(pc.fill_null(batch.column(1), ""), end_id)
+            offsets = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(sizes)], ["doc_id", "ids", "n_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, ids binary, n_tokens long")
 
 
 def _symbol_counts(tokens: DataFrame, kind: str) -> DataFrame:
@@ -205,7 +202,7 @@ def _symbol_counts(tokens: DataFrame, kind: str) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["symbol", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(trimmed(run), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "shard int, block int, n_tokens long, piece_doc array<long>, piece_row array<long>, piece_no array<long>, piece_len array<long>, payload binary"
@@ -258,8 +255,9 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *,
     """Write the file set; shard_tokens: about how many ids a shard holds."""
     spark = docs.sparkSession
     kind = _tokenizer(tokenizer).kind
-    tokens = saved(tokenize(docs, tokenizer, end_id, doc_id=doc_id, text=text), "tokens")
-    counted = _symbol_counts(tokens, kind).collect()  # at most as many rows as the vocabulary
+    with rows_per_batch(spark, DOCUMENTS_PER_BATCH):
+        tokens = saved(tokenize(docs, tokenizer, end_id, doc_id=doc_id, text=text), "tokens")
+        counted = _symbol_counts(tokens, kind).collect()  # at most as many rows as the vocabulary
     counts = np.zeros(max((r["symbol"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["symbol"]] = r["n"]
@@ -273,7 +271,8 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int, *,
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
     dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    with rows_per_batch(spark, DOCUMENTS_PER_BATCH):
+        dealt.select("doc_id", "ids").mapInArrow(trimmed(run), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 PIECES = "shard int, block int, doc_id long, row long, piece long, n long, crc long"
@@ -307,7 +306,7 @@ def decode_pieces(spark: SparkSession, folder: str, *, with_ids: bool = False) -
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
     schema = PIECES + (", ids binary" if with_ids else "")
     blocks = spark.read.parquet(f"{folder}/blocks").select("shard", "block", "piece_doc", "piece_row", "piece_no", "piece_len", "payload")
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(trimmed(run), schema)
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -353,7 +352,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the decoded blocks."""
     pieces = decode_pieces(spark, folder)
     whole = pieces.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"))
-    whole = saved(whole, "pieces")
+    with rows_per_batch(spark, 64):  # blocks
+        whole = saved(whole, "pieces")
     columns = ["shard", "row", "doc_id", "n_tokens"]
     cut = whole.where(F.size("p") > 1).select(*columns, _joined("p.n", "p.crc").alias("ids_crc32"))  # few: those that cross a block's end
     whole = whole.where(F.size("p") == 1).select(*columns, F.element_at("p.crc", 1).alias("ids_crc32")).unionByName(cut)
