@@ -1,7 +1,10 @@
 """Comments and teasers in pages, mixes on other partitions, notices in other words."""
 
-from scarpline.llm import license_scan, mixing
-from scarpline.llm.common import n_words
+import numpy as np
+import pytest
+
+from scarpline.llm import license_scan, mixing, token_files
+from scarpline.llm.common import n_words, rows_per_batch, trimmed
 from scarpline.llm.html_text import difference, lines
 
 
@@ -55,3 +58,29 @@ def test_rank_decides_what_is_confirmed():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.1)
     scanner._wins = lambda *a: False
     assert scanner.text("Released under the MIT License.") == []
+
+
+def test_tokens_of_texts_larger_than_a_batch(spark):
+    """Texts are cut into batches by size; one that is larger than a batch stays whole, and columns of clashing names do no harm."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    rows = [(i, " ".join(f"word{i}-{j} The café," for j in range(n)), [str(i)], {"n": i}) for i, n in enumerate((3, 4000, 0, 1, 900, 1, 1))] + [(7, None, None, None), (7, "twice", [], {})]
+    table = spark.createDataFrame(rows, "doc_id int, text string, ids array<string>, n_tokens map<string,int>").coalesce(1)
+    whole = Tokenizer.from_file(path)
+    want = sorted((i, [*whole.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, *_ in rows)
+    for size, few in ((2000, 2), (50, 1), (10_000_000, 1000)):
+        with rows_per_batch(spark, few):
+            got = token_files.tokenize(table, path, 2, batch_bytes=size).collect()
+        assert sorted((r["doc_id"], np.frombuffer(r["ids"], "<u2").tolist()) for r in got) == want
+        assert all(len(r["ids"]) == 2 * r["n_tokens"] for r in got)
+
+
+def test_batch_size_is_put_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError), rows_per_batch(spark, 3):
+        assert spark.conf.get(key) == "3"
+        raise ValueError
+    assert spark.conf.get(key) == before
+    assert list(trimmed(iter)([1, 2])) == [1, 2]
