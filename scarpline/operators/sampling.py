@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scarpline.functions.scalars import portable_hash, uniform
 from scarpline.operators.select import numbered, one_row, threshold_select
 from scarpline.operators.spatial import away_from
+from scarpline.sources.tables import saved
 
 
 def first_by_hash(df: DataFrame, key: str, n: int, seed: int, exact: bool = True) -> DataFrame:
@@ -19,9 +20,9 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int, exact: bool = True
     return threshold_select(df, one_row(df, n), portable_hash(key, seed), [key])
 
 
-def pseudo_absences(candidates: DataFrame, points: DataFrame, key: str, n: int, buffer: float, seed: int) -> DataFrame:
-    """n candidates at least ``buffer`` from all points, by hash; all candidates are looked at."""
-    return first_by_hash(away_from(candidates, points, buffer), key, n, seed)
+def pseudo_absences(candidates: DataFrame, points: DataFrame, key: str, n: int, buffer: float, seed: int, exact: bool = True) -> DataFrame:
+    """n candidates at least ``buffer`` from all points, by hash; all candidates are looked at. If there are fewer, an error says so, or, unless ``exact``, all of them are taken."""
+    return first_by_hash(saved(away_from(candidates, points, buffer)), key, n, seed, exact)
 
 
 def random_absences(points: DataFrame, features: Sequence[str], n: int, x: tuple[float, float], y: tuple[float, float], buffer: float, seed: int = 42, feature_range: tuple[float, float] = (0.0, 1.5), tries: int = 200) -> DataFrame:

@@ -42,7 +42,7 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, how: str = "inner
 
 def away_from(candidates: DataFrame, points: DataFrame, buffer: float) -> DataFrame:
     """Candidates at least ``buffer`` from every point; a distance equal to the buffer is far enough."""
-    return distance_join(candidates, points.select("x", "y"), buffer, "left_anti", strict=True)
+    return distance_join(candidates, points.select("x", "y").distinct(), buffer, "left_anti", strict=True)
 
 
 def ring(candidates: DataFrame, points: DataFrame, inner: float, outer: float | None = None) -> DataFrame:
