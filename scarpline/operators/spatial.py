@@ -48,16 +48,16 @@ def away_from(candidates: DataFrame, points: DataFrame, buffer: float) -> DataFr
 def ring(candidates: DataFrame, points: DataFrame, inner: float, outer: float | None = None) -> DataFrame:
     """Candidates whose nearest point is from ``inner`` to ``outer`` away, both included."""
     far = away_from(candidates, points, inner)
-    return far if outer is None else distance_join(far, points.select("x", "y"), outer, "left_semi")
+    return far if outer is None else distance_join(far, points.select("x", "y").distinct(), outer, "left_semi")
 
 
-def buffer_control(df: DataFrame, inner: float = 500.0, outer: float | None = None) -> DataFrame:
-    """All positives, and the negatives in the ring around them. Without negatives the table stays as it is; if none is left, an error says so."""
+def buffer_control(df: DataFrame, inner: float = 500.0, outer: float | None = None, some: bool = True) -> DataFrame:
+    """All positives, and the negatives in the ring around them. Without negatives the table stays as it is; if none is left, an error says so, or, unless ``some``, only positives come back."""
     positive, negative = df.where("target = 1"), df.where("target = 0")
     if negative.isEmpty():
         return df
     kept = ring(negative, positive, inner, outer)
-    if kept.isEmpty():
+    if some and kept.isEmpty():
         raise ValueError("No negatives are left in the buffer ring")
     return positive.unionByName(kept)
 

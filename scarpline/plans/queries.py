@@ -166,7 +166,7 @@ def buffer_ring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def buffer_control(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.buffer_control(labelled(spark, d), 300.0, 2500.0).select("id", "target")
+    return spatial.buffer_control(labelled(spark, d), 300.0, 2500.0, some=False).select("id", "target")
 
 
 def distance_pairs(spark: SparkSession, d: str) -> DataFrame:

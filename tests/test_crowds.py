@@ -1,6 +1,6 @@
 """Crowded places: buffers that leave nothing, copies of places, folds that are single rows."""
 
-from scarpline.operators import sampling
+from scarpline.operators import sampling, spatial
 
 
 def points(spark, rows, more=""):
@@ -12,3 +12,8 @@ def test_fewer_absences_than_wanted(spark):
     free = points(spark, [(1, 0.0, 499.0), (2, 500.0, 0.0), (3, 900.0, 0.0)])
     drawn = lambda rows: sorted(r.id for r in sampling.pseudo_absences(rows, near, "id", 10, 500.0, 42, exact=False).collect())
     assert drawn(free) == [2, 3] and drawn(free.where("id = 1")) == []
+
+
+def test_buffer_that_leaves_no_negative(spark):
+    rows = points(spark, [(1, 0.0, 0.0, 1), (2, 10.0, 0.0, 0)], ", target int")
+    assert [r.id for r in spatial.buffer_control(rows, 500.0, 900.0, some=False).collect()] == [1]
