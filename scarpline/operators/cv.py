@@ -9,11 +9,12 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scarpline.operators.expansion import site_models
 from scarpline.operators.metrics import auc
 from scarpline.operators.models import fit, scores
-from scarpline.operators.newton import fit_folds, fold_predictions
+from scarpline.operators.newton import fit_folds, fold_predictions, standard
 from scarpline.operators.sampling import stratified_folds
-from scarpline.operators.spatial import distance_join
+from scarpline.operators.spatial import distance_join, has_place
 from scarpline.sources.tables import saved
 
 Maker = Callable[[DataFrame], Estimator]
@@ -25,7 +26,7 @@ def excluded_folds(df: DataFrame, key: str, r: float) -> DataFrame:
     One neighbour join; pairs of (row, fold) are made distinct before they are collected.
     """
     points = df.select(key, "x", "y", "fold")
-    pairs = distance_join(points, points.select("x", "y", "fold"), r).select(key, F.col("right_fold").alias("fold")).distinct()
+    pairs = distance_join(points, points.select("x", "y", "fold").where("fold is not null"), r).select(key, F.col("right_fold").alias("fold")).distinct()
     return pairs.groupBy(key).agg(F.collect_set("fold").alias("excluded"))
 
 
@@ -80,9 +81,33 @@ def buffered_logistic(df: DataFrame, key: str, features: Sequence[str], r: float
     """``buffered_cv`` of logistic regression for any number of folds, all of them fitted together; with the row's key as fold it is leave-one-out.
 
     Keys must be unique. The fits are those of ``models.logistic_regression`` on standard scores and balanced classes, to the end.
+    Folds of one place each are fitted by ``expansion``, which reads the rows some times in all; those that it can't fit, and folds of
+    many places, by ``newton.fit_folds``, whose work is rows times folds.
     """
-    found, rows = fit_folds(df, features, excluded_folds(df, key, r), key, c)
-    return fold_predictions(found, rows, key)
+    if not _one_place(df):
+        found, rows = fit_folds(df, features, excluded_folds(df, key, r), key, c)
+        return fold_predictions(found, rows, key)
+    somewhere = lambda c_: F.when(has_place(), F.col(c_)).alias(c_)
+    rows = saved(df.select(key, "target", "fold", somewhere("x"), somewhere("y"), standard(df, features).alias("z")))
+    fits = site_models(rows, r, c)
+    score = F.aggregate(F.zip_with("raw", F.concat("z", F.array(F.lit(1.0))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    p = 1 / (1 + F.exp(-F.greatest(F.least(score, F.lit(500.0)), F.lit(-500.0))))
+    same = rows["x"].eqNullSafe(fits["x"]) & rows["y"].eqNullSafe(fits["y"])
+    held = rows.join(fits, same).where("usable and ok").select(key, "target", "fold", p.alias("p"))
+    rest = saved(fits.where("not ok").select("x", "y", F.monotonically_increasing_id().alias("fold")))
+    if rest.isEmpty():
+        return held
+    some = df.drop("fold").join(rest, ["x", "y"], "left")
+    found, fitted = fit_folds(some, features, excluded_folds(some, key, r), key, c)
+    more = fold_predictions(found, fitted.where("at is not null"), key).drop("fold").join(df.select(key, "fold"), key)
+    return held.unionByName(more.select(*held.columns))
+
+
+def _one_place(df: DataFrame) -> bool:
+    """Whether each fold's rows are all at one place, or all without one."""
+    ends = [f(F.when(has_place(), F.col(c))).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    folds = df.groupBy("fold").agg(F.count("*").alias("_n"), F.count_if(has_place()).alias("_m"), *ends)
+    return folds.where("_m not in (0, _n) or low_x <> high_x or low_y <> high_y").isEmpty()
 
 
 def pooled_auc(predictions: DataFrame) -> DataFrame:

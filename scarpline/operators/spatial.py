@@ -13,7 +13,7 @@ from scarpline.functions.scalars import distance2
 from scarpline.sources.tables import saved
 
 
-def _cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
+def cells(df: DataFrame, r: float, spread: bool) -> DataFrame:
     """Add cell numbers _cx, _cy; with spread, those around too, each a row."""
     around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     cell = {"_cx": F.floor(F.col("x") / r), "_cy": F.floor(F.col("y") / r)}
@@ -32,7 +32,7 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, how: str = "inner
 
     An inner join has the left columns, and the right ones as ``right_<name>``. The right side is the one that is copied.
     """
-    a, b = _cells(left, r, False).alias("l"), _cells(right, r, True).alias("r")
+    a, b = cells(left, r, False).alias("l"), cells(right, r, True).alias("r")
     on = (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy")) & _near(r, strict)
     joined = a.join(b, on, how)
     if how == "inner":
@@ -68,10 +68,14 @@ BITS, STEP = 24, 2
 SMALL = 100_000
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Rows with both coordinates, neither null nor NaN nor infinite."""
+def has_place() -> Column:
+    """Whether a row has both coordinates, neither null nor NaN nor infinite."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return df.where(finite("x") & finite("y"))
+    return finite("x") & finite("y")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    return df.where(has_place())
 
 
 def _boxes(*more: Column) -> tuple[Column, ...]:
@@ -141,7 +145,7 @@ def min_distance(query: DataFrame, reference: DataFrame, key: str, *, leaf: int
     points of those last cells (at most ``leaf`` points each) of an adaptive tree whose box can hold its nearest.
     """
     rows = query.select(key, "x", "y")
-    places, points = saved(_placed(rows).select("x", "y").distinct()), saved(_placed(reference).select("x", "y").distinct())
+    places, points = saved(placed(rows).select("x", "y").distinct()), saved(placed(reference).select("x", "y").distinct())
     if points.isEmpty() or places.isEmpty():
         finite = rows.join(places.withColumn("_in", F.lit(True)), ["x", "y"], "left")
         return finite.select(key, "x", "y", F.when(F.col("_in"), F.lit(float("inf"))).alias("distance"))
@@ -163,7 +167,7 @@ def neighbour_sums(df: DataFrame, r: float, weight: Column, leaf: int = 16) -> D
     places, which are tested by themselves. So the pairs grow with the rim, not with the area.
     """
     fine = lambda c: F.floor(F.col(c) / r * (1 << BITS))
-    points = saved(_placed(df).groupBy("x", "y").agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("w")).withColumns({"_fx": fine("x"), "_fy": fine("y")}))
+    points = saved(placed(df).groupBy("x", "y").agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("w")).withColumns({"_fx": fine("x"), "_fy": fine("y")}))
     side = lambda t, p: t.select(*(F.col(c).alias(f"{p}_{c}") for c in t.columns))
     gap = lambda c: F.greatest(F.col(f"a_low_{c}") - F.col(f"b_high_{c}"), F.col(f"b_low_{c}") - F.col(f"a_high_{c}"), F.lit(0.0))
     end = lambda c: F.greatest(F.abs(F.col(f"a_high_{c}") - F.col(f"b_low_{c}")), F.abs(F.col(f"b_high_{c}") - F.col(f"a_low_{c}")))

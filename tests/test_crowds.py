@@ -1,6 +1,9 @@
 """Crowded places: buffers that leave nothing, copies of places, folds that are single rows."""
 
-from scarpline.operators import sampling, spatial
+import numpy as np
+from pyspark.sql import functions as F
+
+from scarpline.operators import cv, expansion, newton, sampling, spatial
 
 
 def points(spark, rows, more=""):
@@ -17,3 +20,19 @@ def test_fewer_absences_than_wanted(spark):
 def test_buffer_that_leaves_no_negative(spark):
     rows = points(spark, [(1, 0.0, 0.0, 1), (2, 10.0, 0.0, 0)], ", target int")
     assert [r.id for r in spatial.buffer_control(rows, 500.0, 900.0, some=False).collect()] == [1]
+
+
+def test_rows_left_out_are_fitted_from_sums(spark, monkeypatch):
+    """Places that rows share and rows without a place, against the fits of all folds over the rows; no fold is fitted over the rows."""
+    dice = np.random.default_rng(5)
+    at, x = dice.integers(0, 100, size=(4000, 2)) * 100.0, dice.normal(size=(4000, 2)) * [1, 40] + [5, 900]
+    y = (x[:, 0] - 5 + (x[:, 1] - 900) / 40 + dice.normal(size=4000) > 0).astype(int)
+    data = [(i, *map(float, at[i]), *map(float, x[i]), 1.5, int(y[i])) for i in range(4000)] + [(4000, None, 1.0, 5.0, 900.0, 1.5, 1), (4001, float("nan"), 1.0, 4.0, 950.0, 1.5, 0)]
+    rows = points(spark, data, ", a double, b double, c double, target int").withColumn("fold", F.col("id")).repartition(3)
+    found, fitted = newton.fit_folds(rows, ["a", "b", "c"], cv.excluded_folds(rows, "id", 100.0), "id")
+    want = {r.id: r.p for r in newton.fold_predictions(found, fitted, "id").collect()}
+    monkeypatch.setattr(cv, "fit_folds", None)
+    monkeypatch.setattr(expansion, "SITES", 5)  # groups of a crowded cell
+    monkeypatch.setattr(expansion, "ROWS", 7)
+    got = {r.id: r.p for r in cv.buffered_logistic(rows, "id", ["a", "b", "c"], 100.0).collect()}
+    assert len(want) == 4002 and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-8
