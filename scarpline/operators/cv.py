@@ -14,26 +14,25 @@ from scarpline.operators.metrics import auc
 from scarpline.operators.models import fit, scores
 from scarpline.operators.newton import fit_folds, fold_predictions, standard
 from scarpline.operators.sampling import stratified_folds
-from scarpline.operators.spatial import distance_join, has_place
+from scarpline.operators.spatial import has_place, near_labels
 from scarpline.sources.tables import saved
 
 Maker = Callable[[DataFrame], Estimator]
 
 
 def excluded_folds(df: DataFrame, key: str, r: float) -> DataFrame:
-    """key, excluded: the folds that a row must not train for, as it is within r of one of their rows (its own among them).
+    """key, excluded: the folds that a row must not train for, as it is within r of one of their rows (its own among them); rows without a place have none.
 
-    One neighbour join; pairs of (row, fold) are made distinct before they are collected.
+    Rows of a place share its folds, which come from cells (``spatial.near_labels``) where they can.
     """
-    points = df.select(key, "x", "y", "fold")
-    pairs = distance_join(points, points.select("x", "y", "fold").where("fold is not null"), r).select(key, F.col("right_fold").alias("fold")).distinct()
-    return pairs.groupBy(key).agg(F.collect_set("fold").alias("excluded"))
+    sets = near_labels(df, "fold", r).groupBy("x", "y").agg(F.collect_set("fold").alias("excluded"))
+    return df.select(key, "x", "y").join(sets, ["x", "y"]).select(key, "excluded")
 
 
 def fold_membership(df: DataFrame, key: str, r: float) -> DataFrame:
     """fold, n_test, n_train for folds with a buffer; no complement is built, what is excluded is subtracted."""
-    points = df.select(key, "x", "y", "fold")
-    out = distance_join(points, points.select("x", "y", "fold"), r).select(key, F.col("right_fold").alias("fold")).distinct().groupBy("fold").agg(F.count("*").alias("_out"))
+    rows = df.groupBy("x", "y").agg(F.count_distinct(key).alias("_rows"))
+    out = near_labels(df, "fold", r).join(rows, ["x", "y"]).groupBy("fold").agg(F.sum("_rows").alias("_out"))
     tests = df.groupBy("fold").agg(F.count("*").alias("n_test"))
     total = df.agg(F.count("*").alias("_n"))
     return tests.join(out, "fold").crossJoin(F.broadcast(total)).select("fold", "n_test", (F.col("_n") - F.col("_out")).alias("n_train"))

@@ -210,6 +210,35 @@ def neighbours(df: DataFrame, key: str, r: float) -> DataFrame:
     return distance_join(points, points, r).select(key, f"right_{key}")
 
 
+def near_labels(df: DataFrame, label: str, r: float) -> DataFrame:
+    """x, y and label, distinct: the labels of rows at most r from each distinct place.
+
+    Places and labels are made distinct first. In cells of side r / 2 a label in the place's own cell is near without a test, and so is one
+    whose box in a cell around is wholly near the box of the place's cell; only labels that no cell gives are looked at point by point.
+    """
+    half = r / 2
+    at = {"_cx": F.floor(F.col("x") / half), "_cy": F.floor(F.col("y") / half)}
+    points = saved(placed(df).where(F.col(label).isNotNull()).select("x", "y", F.col(label).alias("label")).distinct().withColumns(at))
+    places = saved(placed(df).select("x", "y").distinct().withColumns(at))
+    side = lambda t, p: t.select(*(F.col(c).alias(f"{p}_{c}") for c in t.columns))
+    around = F.array(*(F.lit(i) for i in range(-3, 4)))  # a box may begin 2 cells away, and rounding may add one
+    theirs = points.groupBy("_cx", "_cy", "label").agg(*_boxes()).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    theirs = side(theirs.withColumns({"ax": F.col("_cx") - F.col("_dx"), "ay": F.col("_cy") - F.col("_dy")}).drop("_dx", "_dy"), "b")
+    ours = side(places.groupBy("_cx", "_cy").agg(*_boxes()), "a")
+    gap = lambda c: F.greatest(F.col(f"a_low_{c}") - F.col(f"b_high_{c}"), F.col(f"b_low_{c}") - F.col(f"a_high_{c}"), F.lit(0.0))
+    end = lambda c: F.greatest(F.abs(F.col(f"a_high_{c}") - F.col(f"b_low_{c}")), F.abs(F.col(f"b_high_{c}") - F.col(f"a_low_{c}")))
+    square = lambda f: f("x") * f("x") + f("y") * f("y")
+    pairs = ours.join(theirs, (F.col("a__cx") == F.col("b_ax")) & (F.col("a__cy") == F.col("b_ay"))).where(square(gap) <= r * r)
+    # Of each cell and label: whether it is near as a whole, and the cells to test else.
+    whole = F.bool_or(square(end) <= r * r)
+    cells_ = saved(pairs.groupBy(F.col("a__cx").alias("_cx"), F.col("a__cy").alias("_cy"), F.col("b_label").alias("label")).agg(whole.alias("whole"), F.collect_list(F.struct(F.col("b__cx").alias("cx"), F.col("b__cy").alias("cy"))).alias("beside")))
+    given = places.join(cells_.where("whole").select("_cx", "_cy", "label"), ["_cx", "_cy"]).select("x", "y", "label")
+    open_ = cells_.where("not whole").select("_cx", "_cy", "label", F.explode("beside").alias("b")).select("_cx", "_cy", "label", "b.cx", "b.cy")
+    there = points.select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "label", F.col("x").alias("bx"), F.col("y").alias("by"))
+    tested = open_.join(there, ["cx", "cy", "label"]).join(places, ["_cx", "_cy"]).where(distance2(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) <= r * r)
+    return given.unionByName(tested.select("x", "y", "label").distinct()).withColumnRenamed("label", label)
+
+
 def fold_census(df: DataFrame, key: str, r: float) -> DataFrame:
     """For each row as a fold of its own: rows excluded within r, rows and positives left to train on, whether it is usable. Rows without a place are left out."""
     rows = df.select(key, "x", "y")

@@ -36,3 +36,17 @@ def test_rows_left_out_are_fitted_from_sums(spark, monkeypatch):
     monkeypatch.setattr(expansion, "ROWS", 7)
     got = {r.id: r.p for r in cv.buffered_logistic(rows, "id", ["a", "b", "c"], 100.0).collect()}
     assert len(want) == 4002 and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-8
+
+
+def test_folds_near_a_crowd(spark):
+    """Labels given by whole cells, by boxes and by tests, on rows that share places; whole cells meet no points."""
+    dice = np.random.default_rng(6)
+    data = [(i, float(a), float(b)) for i, (a, b) in enumerate(dice.integers(-30, 30, size=(400, 2)) * 20)] + [(400, None, 1.0), (401, 600.0, 0.0), (402, 900.0, 0.0)]
+    rows = points(spark, data).withColumn("fold", F.when(F.col("id") < 395, (F.col("x") > 100).cast("int") + F.floor(F.col("y") / 500).cast("int")))
+    near = [(r.x, r.y, r.fold) for r in rows.collect() if r.x is not None]
+    for r in (20.0, 150.0, 300.0):
+        want = {(x, y, f) for x, y, _ in near for u, v, f in near if f is not None and (x - u) ** 2 + (y - v) ** 2 <= r * r}
+        got = [(g.x, g.y, g.fold) for g in spatial.near_labels(rows, "fold", r).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    crowd = points(spark, [(i, float(i % 50), 0.0) for i in range(5000)]).withColumn("fold", F.col("id") % 2)
+    assert {r.fold: r.n_train for r in cv.fold_membership(crowd, "id", 100.0).collect()} == {0: 0, 1: 0}
