@@ -210,6 +210,17 @@ def neighbours(df: DataFrame, key: str, r: float) -> DataFrame:
     return distance_join(points, points, r).select(key, f"right_{key}")
 
 
+def near_summary(points: DataFrame, others: DataFrame, key: str, r: float) -> DataFrame:
+    """key, n, first: for each key of ``points``, how many rows of ``others`` are at most r away, and the least key of them; keys without any are left out.
+
+    Rows of a place are counted before they are joined, so the pairs are those of distinct places.
+    """
+    counted = placed(others).groupBy("x", "y").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    pairs = distance_join(counted, placed(points).select("x", "y").distinct(), r)
+    found = pairs.groupBy(F.col("right_x").alias("x"), F.col("right_y").alias("y")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return points.select(key, "x", "y").join(found, ["x", "y"]).groupBy(key).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def near_labels(df: DataFrame, label: str, r: float) -> DataFrame:
     """x, y and label, distinct: the labels of rows at most r from each distinct place.
 

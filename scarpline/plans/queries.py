@@ -170,8 +170,7 @@ def buffer_control(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distance_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spatial.distance_join(candidate(spark, d), presence(spark, d), 1000.0)
-    return pairs.groupBy(F.col("right_id").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return spatial.near_summary(presence(spark, d), candidate(spark, d), "id", 1000.0)
 
 
 def pseudo_absence_topn(spark: SparkSession, d: str) -> DataFrame:
