@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from scarpline.operators.scaling import positive_weight, weighted
 
+#: Rows of a task in a fit, about; smaller tables stay as they are.
+TASK_ROWS = 100_000
 _COLUMNS = {"featuresCol": "scaled", "labelCol": "target", "weightCol": "weight"}
 
 
@@ -94,6 +96,12 @@ def reseeded(make: Callable[[DataFrame], Estimator], seed: int) -> Callable[[Dat
     return other
 
 
+def shared_out(rows: DataFrame) -> DataFrame:
+    """The same rows in parts of some TASK_ROWS, in an order of their own, so that no task of a fit holds more, however few files the table has."""
+    parts = rows.count() // TASK_ROWS + 1
+    return rows if parts == 1 else rows.repartition(parts).sortWithinPartitions(*rows.columns)
+
+
 def fit(df: DataFrame, features: Sequence[str], make: Callable[[DataFrame], Estimator], balance: str = "classes") -> PipelineModel:
     """Fit assembler, scaler and estimator on rows of features and target. balance: weights by ``classes``, or ``positives`` for boosting.
 
@@ -105,7 +113,7 @@ def fit(df: DataFrame, features: Sequence[str], make: Callable[[DataFrame], Esti
     else:
         scale = F.when(F.col("target") == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0))
         rows = rows.crossJoin(F.broadcast(positive_weight(rows))).withColumn("weight", scale).drop("scale_pos_weight")
-    rows = rows.persist()
+    rows = shared_out(rows).persist()
     try:
         stages = [VectorAssembler(inputCols=list(features), outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), make(rows)]
         return Pipeline(stages=stages).fit(rows)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scarpline.operators import cv, expansion, newton, sampling, spatial
+from scarpline.operators import cv, expansion, models, newton, sampling, spatial
 
 
 def points(spark, rows, more=""):
@@ -50,3 +50,23 @@ def test_folds_near_a_crowd(spark):
         assert len(got) == len(set(got)) and set(got) == want
     crowd = points(spark, [(i, float(i % 50), 0.0) for i in range(5000)]).withColumn("fold", F.col("id") % 2)
     assert {r.fold: r.n_train for r in cv.fold_membership(crowd, "id", 100.0).collect()} == {0: 0, 1: 0}
+
+
+def test_pairs_of_crowded_places(spark):
+    """Two million pairs of rows are four of places."""
+    crowd = spark.range(2000).selectExpr("id", "CAST(id % 2 AS DOUBLE) AS x", "0D AS y")
+    near = points(spark, [(i, float(i % 2 * 30), 0.0) for i in range(1000)] + [(1000, 99.0, 0.0), (1001, None, 0.0)])
+    found = spatial.near_summary(near, crowd, "id", 29.5)
+    assert {(r.id % 2, r.n, r.first) for r in found.collect()} == {(0, 2000, 0), (1, 1000, 1)} and found.count() == 1000
+    small = near.where("id < 4 or id > 999").unionByName(points(spark, [(5, 60.0, 1.0), (6, 60.0, 1.0)]))
+    rows = [(r.id, r.x, r.y) for r in small.collect()]
+    want = {a: [b for b, u, v in rows if None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 1600] for a, x, y in rows}
+    assert {(r.id, r.n, r.first) for r in spatial.near_summary(small, small, "id", 40.0).collect()} == {(a, len(b), min(b)) for a, b in want.items() if b}
+
+
+def test_rows_of_a_fit_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000 / 10).alias("a"), (F.col("id") % 2).cast("int").alias("target")).coalesce(1)
+    parts = models.shared_out(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 1000 and max(r["count"] for r in parts) <= 150
+    assert models.shared_out(rows.limit(50)).rdd.getNumPartitions() == 1
