@@ -29,6 +29,11 @@ def excluded_folds(df: DataFrame, key: str, r: float) -> DataFrame:
     return df.select(key, "x", "y").join(sets, ["x", "y"]).select(key, "excluded")
 
 
+def with_excluded(df: DataFrame, key: str, r: float) -> DataFrame:
+    """Rows of a place with ``excluded``, written once for all models that ``buffered_cv`` is to try."""
+    return saved(df.join(excluded_folds(df, key, r), key))
+
+
 def fold_membership(df: DataFrame, key: str, r: float) -> DataFrame:
     """fold, n_test, n_train for folds with a buffer; no complement is built, what is excluded is subtracted."""
     rows = df.groupBy("x", "y").agg(F.count_distinct(key).alias("_rows"))
@@ -59,14 +64,14 @@ def stratified_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker,
 def buffered_cv(df: DataFrame, key: str, features: Sequence[str], make: Maker, r: float, folds: Sequence[int] | None = None, max_folds: int = 200, balance: str = "classes") -> DataFrame:
     """key, target, fold, p: predictions for held-out rows by models that saw nothing within r of their fold.
 
-    df has ``fold``; with squares as folds it takes as many fits as folds. Folds left with one class are skipped; if all are, no
+    df has ``fold``, and ``excluded`` if ``with_excluded`` has been called for it; with squares as folds it takes as many fits as folds. Folds left with one class are skipped; if all are, no
     row comes back and the score is null. ``pooled_auc`` of the result is the score. More than ``max_folds`` folds are refused:
     ``buffered_logistic`` takes any number.
     """
     names = sorted(r_["fold"] for r_ in df.select("fold").distinct().limit(max_folds + 1).collect()) if folds is None else list(folds)
     if len(names) > max_folds:
         raise ValueError(f"More than {max_folds} folds; deal squares to fewer folds, or raise max_folds")
-    rows = saved(df.join(excluded_folds(df, key, r), key))
+    rows = df if "excluded" in df.columns else with_excluded(df, key, r)
     parts = [df.select(key, "target", "fold", F.lit(None).cast("double").alias("p")).limit(0)]
     for f in names:
         train = rows.where(~F.array_contains("excluded", F.lit(f)))

@@ -90,6 +90,7 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
     weight: list[DataFrame] = []
     curve = lambda scored, name, scheme: roc.append(metrics.roc_points(scored, "p").select(F.lit(name).alias("model"), F.lit(scheme).alias("scheme"), "threshold", "tpr", "fpr"))
     small = leave_one_out > 0 and rows.count() <= leave_one_out
+    blocked = cv.with_excluded(block_folds(rows, block, study.folds), key, study.fold_radius) if block is not None and set(names) - ({"lr"} if small else set()) else None
     for name in names:
         make, balance = models.factory(name, study.seed, **options.get(name, {})), "positives" if name == "gbt" else "classes"
         held = cv.stratified_predictions(rows, key, picked.chosen, make, study.folds, study.seed, balance)
@@ -100,7 +101,7 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
             if name == "lr" and small:
                 held = cv.buffered_logistic(rows.withColumn("fold", F.col(key)), key, picked.chosen, study.fold_radius, options.get("lr", {}).get("c", 1.0))
             else:
-                held = cv.buffered_cv(block_folds(rows, block, study.folds), key, picked.chosen, make, study.fold_radius, balance=balance)
+                held = cv.buffered_cv(blocked, key, picked.chosen, make, study.fold_radius, balance=balance)
             held = saved(held.select(key, "target", "p"))
             found.append(metrics.long_metrics(cv.pooled_auc(held), run_id, name, "buffered"))
             curve(held, name, "buffered")
