@@ -58,11 +58,11 @@ def scored_grid(grid: DataFrame, model: PipelineModel, q: int = 5, edges: DataFr
     return zoned(scored, "lsi_prob", q, edges=edges)
 
 
-def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str] = ("rf", "lr", "gbt"), method: str = "none", refine: bool = False, block: float | None = None, leave_one_out: int = 0, grid: DataFrame | None = None, run_id: str = "run", options: dict[str, dict] | None = None) -> dict:
+def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str] = ("rf", "lr", "gbt"), method: str = "none", refine: bool = False, block: float | None = None, leave_one_out: bool = False, grid: DataFrame | None = None, run_id: str = "run", options: dict[str, dict] | None = None) -> dict:
     """Check, balance, refine, choose features, cross-validate, fit, report, and score a grid.
 
     A table without negatives gets random ones, and a new key. block: the side of squares that folds with a buffer are dealt
-    by; None leaves these folds out. leave_one_out: up to so many rows, logistic regression has each row as such a fold instead.
+    by; None leaves these folds out. leave_one_out: logistic regression has each row as such a fold instead, however many rows there are.
     grid: x, y and features; its scores by the first model are cut into zones.
 
     Returns models by name, ``metrics`` (a long table for ``write_runs``: the run's figures and how long it took, the chosen features,
@@ -89,8 +89,7 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
     roc: list[DataFrame] = []
     weight: list[DataFrame] = []
     curve = lambda scored, name, scheme: roc.append(metrics.roc_points(scored, "p").select(F.lit(name).alias("model"), F.lit(scheme).alias("scheme"), "threshold", "tpr", "fpr"))
-    small = leave_one_out > 0 and rows.count() <= leave_one_out
-    blocked = cv.with_excluded(block_folds(rows, block, study.folds), key, study.fold_radius) if block is not None and set(names) - ({"lr"} if small else set()) else None
+    blocked = cv.with_excluded(block_folds(rows, block, study.folds), key, study.fold_radius) if block is not None and set(names) - ({"lr"} if leave_one_out else set()) else None
     for name in names:
         make, balance = models.factory(name, study.seed, **options.get(name, {})), "positives" if name == "gbt" else "classes"
         held = cv.stratified_predictions(rows, key, picked.chosen, make, study.folds, study.seed, balance)
@@ -98,7 +97,7 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
         found += [metrics.long_metrics(folds, run_id, name, "kfold", F.col("fold")), metrics.long_metrics(metrics.fold_summary(folds), run_id, name, "kfold")]
         curve(held, name, "kfold")
         if block is not None:
-            if name == "lr" and small:
+            if name == "lr" and leave_one_out:
                 held = cv.buffered_logistic(rows.withColumn("fold", F.col(key)), key, picked.chosen, study.fold_radius, options.get("lr", {}).get("c", 1.0))
             else:
                 held = cv.buffered_cv(blocked, key, picked.chosen, make, study.fold_radius, balance=balance)
@@ -110,7 +109,7 @@ def susceptibility(df: DataFrame, key: str, study: Study, *, names: Sequence[str
         found.append(metrics.long_metrics(metrics.class_metrics(seen, F.col("p") > 0.5).crossJoin(metrics.auc(seen, "p")), run_id, name, "train_fit"))
         curve(seen, name, "train_fit")
         weight.append(models.importances(fitted[name], picked.chosen).withColumn("model", F.lit(name)))
-    figures = {"features": len(study.features), "chosen": len(picked.chosen), "folds": study.folds, "seed": study.seed, "refined": int(refine), "bags": study.bags, "buffer": study.buffer, "outer": study.outer, "fold_radius": study.fold_radius, "block": block, "leave_one_out": int(small), "elapsed": time.monotonic() - began}
+    figures = {"features": len(study.features), "chosen": len(picked.chosen), "folds": study.folds, "seed": study.seed, "refined": int(refine), "bags": study.bags, "buffer": study.buffer, "outer": study.outer, "fold_radius": study.fold_radius, "block": block, "leave_one_out": int(leave_one_out), "elapsed": time.monotonic() - began}
     summary = dataset_summary(rows).select("n", "n_pos", "n_neg").withColumns({n: F.lit(v).cast("double") for n, v in figures.items()})
     found.insert(0, metrics.long_metrics(summary, run_id, "", "run"))
     out = {"models": fitted, "metrics": reduce(DataFrame.unionByName, found), "roc": reduce(DataFrame.unionByName, roc), "features": picked, "importance": reduce(DataFrame.unionByName, weight), "rows": rows}

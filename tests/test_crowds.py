@@ -1,9 +1,11 @@
 """Crowded places: buffers that leave nothing, copies of places, folds that are single rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scarpline.operators import cv, expansion, models, newton, sampling, spatial
+from scarpline.plans import jobs, queries
 
 
 def points(spark, rows, more=""):
@@ -70,3 +72,15 @@ def test_rows_of_a_fit_are_shared_out(spark, monkeypatch):
     parts = models.shared_out(rows).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in parts) == 1000 and max(r["count"] for r in parts) <= 150
     assert models.shared_out(rows.limit(50)).rdd.getNumPartitions() == 1
+
+
+def test_each_row_is_a_fold_however_many(spark, tmp_path, monkeypatch):
+    """The job's buffered score of logistic regression is that of leave-one-out for more than 20,000 rows too."""
+    key, drawn = F.col("id") % 40 + F.floor(F.col("id") / 40) * 150_000, lambda n, seed: F.pmod(F.hash("id", F.lit(seed)), F.lit(n))
+    rows = spark.range(20_040).select(key.alias("c_custkey"), (drawn(1000, 1) / 10).alias("c_acctbal"), drawn(25, 2).alias("c_nationkey"), F.when(drawn(5, 3) == 0, "BUILDING").otherwise("OTHER").alias("c_mktsegment"))
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    whole = jobs.susceptibility
+    monkeypatch.setattr(jobs, "susceptibility", lambda *given, **named: whole(*given, names=("lr",), **named))
+    found = {(r.scheme, r.metric): r.value for r in queries.ml_pipeline(spark, str(tmp_path)).where("fold is null").collect()}
+    want = cv.pooled_auc(queries.leave_one_out(spark, str(tmp_path))).first()["auc"]
+    assert found["run", "n"] == 20_040 and found["run", "leave_one_out"] == 1 and found["buffered", "auc"] == pytest.approx(want, abs=1e-9)
